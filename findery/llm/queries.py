@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from findery.llm.distinctiveness import query_terms, record_terms
 from findery.llm.frequencies import map_frequencies, map_record_count, mark, ngram_frequencies
+from findery.llm.near_duplicates import near_duplicates
 from findery.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,5 +36,15 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return of_text.select(F.lit("text").alias("field"), F.col("doc_id").alias("record_id"), "term").unionByName(of_maps.select(F.lit("document_frequencies").alias("field"), F.col("query_id").alias("record_id"), "term"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of documents whose runs of three terms overlap by 0.7 or more."""
+    return near_duplicates(table(spark, folder, "documents"), shingle=3, similarity=0.7, min_terms=20).record_pairs("doc_id")
+
+
+def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Class, group and number of links of every document, by runs of five terms and 0.8 or more."""
+    return near_duplicates(table(spark, folder, "documents")).groups("doc_id")
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
