@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from findery.llm.distinctiveness import query_terms, record_terms
 from findery.llm.frequencies import map_frequencies, map_record_count, mark, ngram_frequencies
 from findery.llm.near_duplicates import near_duplicates
+from findery.llm.neighbours import most_similar
 from findery.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,5 +47,16 @@ def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents")).groups("doc_id")
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of vectors of which one is among the 5 nearest of the other."""
+    near = most_similar(table(spark, folder, "doc_vectors"))
+    return near.select(F.least("vec_id", "neighbour").alias("vec_id_a"), F.greatest("vec_id", "neighbour").alias("vec_id_b")).distinct()
+
+
+def p4_hits(spark: SparkSession, folder: str) -> DataFrame:
+    """The 5 nearest other vectors of every valid vector with their scores."""
+    return most_similar(table(spark, folder, "doc_vectors"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
