@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from findery.llm.distinctiveness import query_terms, record_terms
 from findery.llm.frequencies import map_frequencies, map_record_count, mark, ngram_frequencies
 from findery.llm.near_duplicates import near_duplicates
 from findery.llm.neighbours import most_similar
+from findery.llm.outranking import net_flow
+from findery.llm.splitting import cut_texts, pieces
 from findery.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,5 +60,28 @@ def p4_hits(spark: SparkSession, folder: str) -> DataFrame:
     return most_similar(table(spark, folder, "doc_vectors"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The coarsest unit at which every document that is too long can be cut."""
+    return cut_texts(table(spark, folder, "documents")).select("doc_id", "boundary")
+
+
+def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of every document that is too long."""
+    return pieces(cut_texts(table(spark, folder, "documents"), keep_text=True))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The first 10 documents of every query by net flow over reciprocal positions in the two lists."""
+    flow = net_flow(table(spark, folder, "hybrid_hits"), {"lexical_score": 1.0, "semantic_score": 1.0}, scale="reciprocal")
+    total = F.round(F.col("net") * (F.col("items") - 1) / F.col("items") + F.col("mean_utility"), 12)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(total), "document_id"))
+    return flow.withColumn("place", place).where(F.col("place") <= 10).select("query_id", "document_id")
+
+
+def p6_flows(spark: SparkSession, folder: str) -> DataFrame:
+    """Flows of every document of every query over score percentiles."""
+    return net_flow(table(spark, folder, "hybrid_hits"), {"lexical_score": 1.0, "semantic_score": 1.0})
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
