@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from findery.llm.distinctiveness import query_terms, record_terms
 from findery.llm.frequencies import map_frequencies, map_record_count, mark, ngram_frequencies
+from findery.llm.leakage import leaks
 from findery.llm.near_duplicates import near_duplicates
 from findery.llm.neighbours import most_similar
 from findery.llm.outranking import net_flow
 from findery.llm.splitting import cut_texts, pieces
+from findery.llm.tokenizing import decode, encode
 from findery.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,5 +85,29 @@ def p6_flows(spark: SparkSession, folder: str) -> DataFrame:
     return net_flow(table(spark, folder, "hybrid_hits"), {"lexical_score": 1.0, "semantic_score": 1.0})
 
 
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's ids by the public tokenizer."""
+    return encode(table(spark, folder, "documents"))
+
+
+def p7_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's number of ids and whether they decode to its text."""
+    documents = table(spark, folder, "documents")
+    encoded = encode(documents)
+    back = decode(encoded).withColumnRenamed("text", "decoded").join(encoded.select("doc_id", F.size("ids").alias("n_ids")), "doc_id")
+    return documents.select("doc_id", "text").join(back, "doc_id").select("doc_id", "n_ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and items that share a run of at least 12 terms."""
+    found = leaks(table(spark, folder, "documents"), table(spark, folder, "eval_passages"))
+    return found.where(F.col("distance") == 0).select("doc_id", "item_id")
+
+
+def p8_near(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and items of which a passage of 12 terms is in the document with at most one edit."""
+    return leaks(table(spark, folder, "documents"), table(spark, folder, "eval_passages"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
