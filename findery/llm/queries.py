@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from findery.llm.distinctiveness import query_terms, record_terms
+from findery.llm.encoding import wrongly_decoded
 from findery.llm.frequencies import map_frequencies, map_record_count, mark, ngram_frequencies
 from findery.llm.leakage import leaks
 from findery.llm.near_duplicates import near_duplicates
@@ -109,5 +110,15 @@ def p8_near(spark: SparkSession, folder: str) -> DataFrame:
     return leaks(table(spark, folder, "documents"), table(spark, folder, "eval_passages"))
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with text that was decoded with a wrong encoding."""
+    return wrongly_decoded(table(spark, folder, "documents")).select("doc_id")
+
+
+def p9_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """Those documents with the likeliest chain and the restored text."""
+    return wrongly_decoded(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
