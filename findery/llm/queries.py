@@ -24,8 +24,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Terms in too few or too many documents."""
     documents, answers = table(spark, folder, "documents"), table(spark, folder, "corpus_stats")
-    of_text = ngram_frequencies(documents).crossJoin(documents.agg(F.count("text").alias("total"))).select(F.lit("text").alias("field"), "term", "records", "total")
-    of_maps = map_frequencies(answers).crossJoin(map_record_count(answers)).select(F.lit("document_frequencies").alias("field"), "term", "records", "total")
+    of_text = ngram_frequencies(documents).crossJoin(F.broadcast(documents.agg(F.count("text").alias("total")))).select(F.lit("text").alias("field"), "term", "records", "total")
+    of_maps = map_frequencies(answers).crossJoin(F.broadcast(map_record_count(answers))).select(F.lit("document_frequencies").alias("field"), "term", "records", "total")
     both = of_text.unionByName(of_maps).withColumn("mark", mark(F.col("records"), F.col("total")))
     return both.where(F.col("mark").isNotNull()).select("field", "term", "mark")
 
