@@ -1,7 +1,7 @@
 """Texts decoded with a wrong encoding: finding them, and giving back the original where nothing was lost.
 
 Method: a multinomial classifier on hashed byte bigrams. Its unit is a run: a maximal stretch of characters beyond ASCII
-with one neighbour on either side. Training takes the runs of at most SAMPLE_ROWS texts (chosen by a hash of the key),
+with one neighbour on either side. Training takes the runs of about SAMPLE_ROWS records (chosen by a hash of the key),
 garbles them by every chain of CHAINS, and counts the bigrams of their UTF-8 bytes per chain and for the runs as they are
 ('clean'). As a few of the sampled texts are garbled themselves, the runs found garbled are left out and the counts made
 again. A run is predicted the likeliest chain that can be inverted: for chains from UTF-8 the bytes must hold well-formed
@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: At most so many texts, none of more characters, are sampled for training.
-SAMPLE_ROWS, SAMPLE_CHARACTERS = 3000, 100_000
+#: About so many records (never twice as many), none of more characters, are sampled for training.
+SAMPLE_ROWS, SAMPLE_CHARACTERS = 5000, 100_000
 BUCKETS = 1 << 14
 #: Log odds against 'clean' that a run must reach, for chains from UTF-8 and for others.
 ENOUGH, ENOUGH_IF_WEAK = 0.0, 3.0
@@ -254,8 +254,10 @@ def wrongly_decoded(records: DataFrame, key: str = "doc_id", text: str = "text",
     spark = records.sparkSession
     given = records.select(F.col(key), F.col(text)).where(F.col(text).rlike(r"[^\x00-\x7F]"))
     kind = dict(given.dtypes)[key]
-    sample = given.where(F.length(text) <= SAMPLE_CHARACTERS).select(F.xxhash64(key).alias("h"), text).orderBy("h").limit(sample_rows).collect()
-    model = spark.sparkContext.broadcast(train([r[1] for r in sample]))
+    # about sample_rows of all records, by their keys' hashes; a top-k would send as many from every partition
+    sampled = F.pmod(F.xxhash64(key), F.lit(max(1, records.count() // sample_rows))) == 0
+    sample = given.where(sampled & (F.length(text) <= SAMPLE_CHARACTERS)).select(text).limit(2 * sample_rows).collect()
+    model = spark.sparkContext.broadcast(train(sorted(r[0] for r in sample)))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Verdict | None] = {}
