@@ -57,3 +57,23 @@ def _beside(rows: DataFrame, totals: DataFrame, keys: list[str], how: str = "inn
     t = totals.select(*(F.col(c).alias(f"_{c}") for c in keys), *(c for c in totals.columns if c not in keys))
     match = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
     return rows.join(F.broadcast(t), match, how).drop(*(f"_{c}" for c in keys))
+
+
+def running_max_before(df: DataFrame, by: list[str], order: list[Column], value: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``df`` with ``before``: the largest ``value`` of the rows ahead in its group, null for the first."""
+    ahead = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+
+    large = materialize(df.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > hot_rows), "hot-groups")
+    rows_in_hot = large.agg(F.sum("n")).first()[0]
+    if not rows_in_hot:
+        return df.withColumn("before", F.max(value).over(ahead))
+    marked = _beside(df, large.select(*by, F.lit(True).alias("hot")), by, "left")
+    stretches = max(2, rows_in_hot // hot_rows * 2)
+    ranged = marked.where("hot").drop("hot").repartitionByRange(int(min(stretches, 10_000)), *by, *order).withColumn("stretch", F.spark_partition_id())
+    ranged = materialize(ranged, "hot-rows")
+    earlier = Window.partitionBy(*by).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    highest = ranged.groupBy(*by, "stretch").agg(F.max(value).alias("m")).withColumn("m_ahead", F.max("m").over(earlier)).drop("m")
+    inside = Window.partitionBy(*by, "stretch").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    hot = _beside(ranged, highest, [*by, "stretch"]).withColumn("before", F.greatest(F.max(value).over(inside), F.col("m_ahead")))
+    cold = marked.where(F.col("hot").isNull()).drop("hot").withColumn("before", F.max(value).over(ahead))
+    return cold.unionByName(hot.select(cold.columns))

@@ -98,6 +98,11 @@ class MemoryStore:
         self._set(old.join(asked, "document_id", "left_anti"), generation)
         return result
 
+    def change(self, ids: DataFrame, left: DataFrame, generation: int) -> None:
+        """Replace all that ``ids`` had by ``left``, in one step."""
+        require_valid(left)
+        self._set(self.scan().join(ids.select("document_id"), "document_id", "left_anti").unionByName(left.select("document_id", "text")), generation)
+
     def replace_all(self, documents: DataFrame, generation: int) -> None:
         require_valid(documents)
         self._set(documents.select("document_id", "text"), generation)
