@@ -63,11 +63,14 @@ class TopicEmbedder:
         return Identity("topics", "-".join(t[0] for t in self.topics), "1", len(self.topics) + 1)
 
     def vector(self, tokens: Column) -> Column:
-        counts = [F.size(F.filter(tokens, lambda x, t=t: x.isin(*t))).cast("double") for t in self.topics]
+        def count(topic: tuple[str, ...]) -> Column:
+            return F.size(F.filter(tokens, lambda x: x.isin(*topic))).cast("double")
+
+        counts = [count(t) for t in self.topics]
         return l2_normalized(F.array(*counts, F.lit(self.constant)))
 
     def embed(self, documents: DataFrame, key: str = "document_id", text: str = "text") -> DataFrame:
-        return documents.select(key, self.vector(tokens_col(text)).alias("vector"))
+        return documents.select(key, tokens_col(text).alias("tokens")).select(key, self.vector(F.col("tokens")).alias("vector"))
 
 
 @dataclass(frozen=True)
