@@ -6,7 +6,7 @@ garbles them by every chain of CHAINS, and counts the bigrams of their UTF-8 byt
 ('clean'). As a few of the sampled texts are garbled themselves, the runs found garbled are left out and the counts made
 again. A run is predicted the likeliest chain that can be inverted: for chains from UTF-8 the bytes must hold well-formed
 sequences of several bytes, for others they must decode strictly, and what comes out must be likelier clean text than what
-went in. U+FFFD is what a failed decoding leaves; a run that holds it is garbled and is not restored.
+went in, both in lower case. U+FFFD is what a failed decoding leaves; a run that holds it is garbled and is not restored.
 
 All texts are judged whole; only those with a character beyond ASCII can be affected. A worker judges each distinct run
 once. The model has a fixed size (classes × BUCKETS numbers) and is broadcast.
@@ -195,10 +195,17 @@ class Model:
     odds: np.ndarray
     clean: np.ndarray
 
+    def _plain(self, text: str) -> float:
+        """How likely clean text is, whatever its case: capitals are as clean, but rare."""
+        return float(self.clean[_features(text.lower())].sum())
+
     def judge(self, run: str) -> Verdict | None:
         f = _features(run)
         score = self.odds[:, f].sum(axis=1) + np.log((1 - CLEAN_PRIOR) / CLEAN_PRIOR / len(CHAINS))
-        before = float(self.clean[f].sum())
+        if LOST in run:
+            lossy = [at for at, c in enumerate(CHAINS) if c[-1][1] == "utf-8"]
+            return Verdict(name(CHAINS[max(lossy, key=lambda at: score[at])]), None, False, True)
+        before = self._plain(run)
         for at in np.argsort(-score):
             chain, proof = CHAINS[at], CHAINS[at][0][0] == "utf-8"
             if score[at] < (ENOUGH if proof else ENOUGH_IF_WEAK):
@@ -206,11 +213,8 @@ class Model:
                     break
                 continue
             undone = invert(run, chain)
-            if undone is not None and float(self.clean[_features(undone[0])].sum()) > before:
+            if undone is not None and self._plain(undone[0]) > before:
                 return Verdict(name(chain), *undone, proof)
-        if LOST in run:
-            lossy = [at for at, c in enumerate(CHAINS) if c[-1][1] == "utf-8"]
-            return Verdict(name(CHAINS[max(lossy, key=lambda at: score[at])]), None, False, True)
         return None
 
 
