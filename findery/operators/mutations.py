@@ -80,7 +80,7 @@ def changed_index(index: InvertedIndex, documents: DataFrame, ids: DataFrame) ->
     Terms that no document has any more vanish, as postings are rows.
     """
     new = build_index(documents.join(ids.select("document_id"), "document_id", "left_semi"))
-    keep = lambda df: df.join(ids.select("document_id"), "document_id", "left_anti")
+    keep = lambda df: df.join(ids.select("document_id"), "document_id", "left_anti").select(df.columns)
     return InvertedIndex(keep(index.postings).unionByName(new.postings, allowMissingColumns=True), keep(index.lengths).unionByName(new.lengths))
 
 
