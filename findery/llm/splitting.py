@@ -91,6 +91,7 @@ class Offsets:
                 if end:
                     back = min(max(end - overlap, 0), first)
                     back = max(back, int(self.starts[np.searchsorted(self.ends, back, side="right")]))
+                    back = back if back + limit > first else first  # there must be something new
                 cut, kind = min(back + limit, stop), "hard"
             start = first if not end else back if cut - back <= limit else self._word_start(cut - limit, end)
             yield (start if start < end or not end else first), cut, kind
