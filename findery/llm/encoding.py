@@ -33,9 +33,11 @@ BUCKETS = 1 << 14
 #: Log odds against 'clean' that a run must reach, for chains from UTF-8 and for others.
 ENOUGH, ENOUGH_IF_WEAK = 0.0, 3.0
 CLEAN_PRIOR = 0.97
+#: Share of a run's characters that must take part in an inversion.
+COVERED = 0.5
 #: Share of probability for unseen buckets, the same for every class.
 UNSEEN = 0.01
-#: Chains that don't start from UTF-8 need so many different runs of at least so many characters in a text.
+#: Chains that don't start from UTF-8 need so many different runs of so many different characters in a text, or longer ones.
 LONG, LONG_RUNS = 4, 2
 LOST = "\ufffd"
 
@@ -118,7 +120,7 @@ def _undo(run: str, source: str, wrong: str) -> tuple[str, bool] | None:
             return (data.decode(source), True) if data is not None else None
         except UnicodeDecodeError:
             return None
-    out, whole, some = [], True, False
+    out, whole, undone = [], True, 0
     for stretch in _encodable(run, wrong):
         if isinstance(stretch, str):
             out.append(stretch)
@@ -129,10 +131,10 @@ def _undo(run: str, source: str, wrong: str) -> tuple[str, bool] | None:
             between = stretch[at : m.start()]
             whole = whole and between.isascii()
             out += [_from_bytes(between, wrong), m.group().decode("utf-8")]
-            at, some = m.end(), True
+            at, undone = m.end(), undone + len(_from_bytes(m.group(), wrong))
         whole = whole and stretch[at:].isascii()
         out.append(_from_bytes(stretch[at:], wrong))
-    return ("".join(out), whole) if some else None
+    return ("".join(out), whole) if undone and undone >= COVERED * sum(c > "\x7f" for c in run) else None
 
 
 def _encodable(run: str, wrong: str) -> Iterator[bytes | str]:
@@ -199,6 +201,11 @@ class Model:
         """How likely clean text is, whatever its case: capitals are as clean, but rare."""
         return float(self.clean[_features(text.lower())].sum())
 
+    def _seen(self, text: str) -> bool:
+        """Whether clean text has characters made of the same pairs of bytes as each of these."""
+        floor = float(self.clean.min()) + 0.1
+        return all(bool((self.clean[f] > floor).all()) for c in set(text) if c > "\x7f" and len(f := _features(c)))
+
     def judge(self, run: str) -> Verdict | None:
         f = _features(run)
         score = self.odds[:, f].sum(axis=1) + np.log((1 - CLEAN_PRIOR) / CLEAN_PRIOR / len(CHAINS))
@@ -213,7 +220,7 @@ class Model:
                     break
                 continue
             undone = invert(run, chain)
-            if undone is not None and self._plain(undone[0]) > before:
+            if undone is not None and self._plain(undone[0]) > before and (not proof or self._seen(undone[0])):
                 return Verdict(name(chain), *undone, proof)
         return None
 
@@ -233,8 +240,11 @@ def _counts(runs: list[str]) -> np.ndarray:
 def in_text(text: str, verdicts: dict[str, Verdict | None]) -> dict[str, Verdict]:
     """The garbled runs of a text, out of the verdicts on its runs."""
     found = {r: v for r in set(_RUN.findall(text)) if (v := verdicts[r]) is not None}
-    long = [v.chain for r, v in found.items() if not v.alone and sum(c > "\x7f" for c in r) >= LONG]
-    return {r: v for r, v in found.items() if v.alone or long.count(v.chain) >= LONG_RUNS}
+    evidence = Counter()
+    for r, v in found.items():
+        if not v.alone:
+            evidence[v.chain] += len({c for c in r if c > "\x7f"}) // LONG
+    return {r: v for r, v in found.items() if v.alone or evidence[v.chain] >= LONG_RUNS}
 
 
 def train(texts: list[str], rounds: int = 3) -> Model:
