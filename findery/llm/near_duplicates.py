@@ -43,6 +43,9 @@ SPLIT_KEEP = SPLIT_WIDTH - DISTANCE // SPLIT_PARTS
 #: Keys up to this number are sent to every task (8 bytes each), more are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
 
+#: Bytes of a shingle's hash that are compared; two different shingles of a pair of records agree once in about 10**9 pairs.
+SHORT = 6
+
 _BLOCK = 1024
 _CACHE = 500_000
 _SEEDS = np.random.default_rng(20240229).integers(0, 2**63, (2, SYMBOLS), dtype=np.uint64)
@@ -226,14 +229,27 @@ def _verified(given: DataFrame, key: str, text: str, kind: str, candidates: Data
         cache = _Hashes()
         for batch in batches:
             for keys, sets in _sets(batch, shingle, min_terms, cache):
-                ends = np.concatenate(([0], np.cumsum([len(s) for s in sets], dtype=np.int64))).astype(np.int32)
-                values = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
-                yield pa.record_batch([pa.array(keys, batch.schema.field(0).type), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["record", "shingles"])
+                yield pa.record_batch([pa.array(keys, batch.schema.field(0).type), pa.array([_short(s) for s in sets], pa.binary())], ["record", "shingles"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            share = [_jaccard(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(share, pa.float64())], ["class_a", "class_b", "similarity"])
 
-    sets = given.join(F.broadcast(ids) if small else ids, key, "left_semi").mapInArrow(shingles, f"record {kind}, shingles array<bigint>")
+    sets = given.join(F.broadcast(ids) if small else ids, key, "left_semi").mapInArrow(shingles, f"record {kind}, shingles binary")
     sets = materialize(sets, "shingle-sets")
     a = sets.select(F.col("record").alias("class_a"), F.col("shingles").alias("of_a"))
     b = sets.select(F.col("record").alias("class_b"), F.col("shingles").alias("of_b"))
-    common = F.size(F.array_intersect("of_a", "of_b"))
-    share = common / (F.size("of_a") + F.size("of_b") - common)
-    return candidates.join(a, "class_a").join(b, "class_b").select("class_a", "class_b", share.alias("similarity")).where(F.col("similarity") >= similarity)
+    both = candidates.join(a, "class_a").join(b, "class_b").select("class_a", "class_b", "of_a", "of_b")
+    return both.mapInArrow(compare, f"class_a {kind}, class_b {kind}, similarity double").where(F.col("similarity") >= similarity)
+
+
+def _short(hashes: np.ndarray) -> bytes:
+    """A set's hashes in SHORT bytes each: sets are what is shuffled most."""
+    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SHORT].tobytes()
+
+
+def _jaccard(a: bytes, b: bytes) -> float:
+    x, y = (np.frombuffer(s, np.dtype((np.void, SHORT))).tolist() for s in (a, b))
+    common = len(set(x).intersection(y))
+    return common / (len(x) + len(y) - common)
