@@ -20,8 +20,11 @@ def norm(v: Column) -> Column:
 
 def l2_normalized(v: Column) -> Column:
     """Unit vector as floats; a zero vector stays zero, null stays null."""
-    length = norm(v)
-    return F.when(length == 0, v.cast("array<float>")).otherwise(F.transform(v, lambda x: (x.cast("double") / length).cast("float")))
+    def scaled(length: Column) -> Column:
+        return F.when(length == 0, v.cast("array<float>")).otherwise(F.transform(v, lambda x: (x.cast("double") / length).cast("float")))
+
+    # an array of one, so that the norm is worked out once and not for every element
+    return F.transform(F.array(norm(v)), scaled)[0]
 
 
 def finite(v: Column) -> Column:
@@ -36,5 +39,4 @@ def well_formed(v: Column, width: int) -> Column:
 
 def storable(v: Column, width: int) -> Column:
     """Well formed, and of norm 0 or nearly 1."""
-    length = norm(v)
-    return well_formed(v, width) & ((length == 0) | (F.abs(length - 1) <= NORM_TOLERANCE))
+    return well_formed(v, width) & F.exists(F.array(norm(v)), lambda n: (n == 0) | (F.abs(n - 1) <= NORM_TOLERANCE))

@@ -7,15 +7,18 @@ hits and a total of 0. Empty documents count in N and the mean length and never
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from findery.config import BM25Params
 from findery.functions.analysis import terms, tokens_col
 from findery.functions.formulas import average_length, bm25, in_order
-from findery.operators.index import InvertedIndex, document_frequency, totals
+from findery.operators.index import InvertedIndex, Matches, document_frequency, totals
 from findery.sources.scratch import materialize
 
 #: Query terms (rows) up to this number are sent to every task; more are joined by shuffle.
@@ -52,6 +55,78 @@ def score(index: InvertedIndex, asked: DataFrame, params: BM25Params = BM25Param
     return parts.groupBy("query_id", "document_id").agg(in_order(F.collect_list("part")).alias("score"))
 
 
+def batch_topk(matches: Matches, asked: DataFrame, limit: int, params: BM25Params = BM25Params(), decimals: int | None = None) -> DataFrame:
+    """``query_id, document_id, score, rank, total``: the first ``limit`` of each query of a stated set, scored where the
+    documents are.
+
+    The queries' terms (at most BROADCAST_TERMS rows, else ``score`` is to be used) go to every task. A document's matches
+    are one row, so a task sums a query's contributions in the order of its terms without a shuffle and sends on only its
+    own best of each query, with the number of its matches; ``total`` is their sum. Queries without a match have no row.
+    """
+    spark = asked.sparkSession
+    rows = asked.select("query_id", "pos", "term").limit(BROADCAST_TERMS + 1).collect()
+    if len(rows) > BROADCAST_TERMS:
+        raise ValueError(f"there are more than {BROADCAST_TERMS} query terms")
+    index = matches.index()
+    n, total_len = totals(index.lengths).first()
+    frequency = dict(map(tuple, document_frequency(index.postings).collect()))  # of query terms only
+    by_query: dict[int, list[str]] = {}
+    for q, _, t in sorted(map(tuple, rows)):
+        if t in frequency:
+            by_query.setdefault(q, []).append(t)
+    weights = {t: math.log(1.0 + (n - df + 0.5) / (df + 0.5)) for t, df in frequency.items()}
+    sent = spark.sparkContext.broadcast((by_query, weights, total_len / n if n else 0.0))
+    k1, b = params.k1, params.b
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, idf, average = sent.value
+        for batch in batches:
+            ids = batch.column(0)
+            lengths, lists = batch.column(1).to_numpy(), batch.column(2)
+            if not len(lists.flatten()):
+                continue
+            words = lists.flatten().dictionary_encode()
+            number = words.indices.to_numpy()
+            document = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
+            tf = batch.column(3).flatten().to_numpy().astype(float)
+            weight = np.array([idf[w] for w in words.dictionary.to_pylist()])[number]
+            value = weight * (tf * (k1 + 1.0)) / (tf + k1 * (1.0 - b + b * (lengths[document] / average)))
+            order = np.argsort(number, kind="stable")
+            document, value = document[order], value[order]
+            bounds = np.searchsorted(number[order], np.arange(len(words.dictionary) + 1))
+            posting = {w: slice(*bounds[i : i + 2]) for i, w in enumerate(words.dictionary.to_pylist())}
+            place = np.argsort(np.argsort(np.array(ids.to_pylist(), object), kind="stable"), kind="stable")
+            out: tuple[list, ...] = ([], [], [], [])
+            score = np.empty(len(ids))
+            for q, own in queries.items():
+                score[:] = 0.0
+                for w in own:
+                    if (at := posting.get(w)) is not None:
+                        score[document[at]] += value[at]
+                hit = np.flatnonzero(score)
+                if not len(hit):
+                    continue
+                compared = score[hit] if decimals is None else np.round(score[hit], decimals)
+                some = hit
+                if len(hit) > limit:
+                    near = compared >= np.partition(compared, len(hit) - limit)[len(hit) - limit]
+                    some, compared = hit[near], compared[near]
+                some = some[np.lexsort((place[some], -compared))[:limit]]
+                out[0].append(np.full(len(some), q))
+                out[1].append(some)
+                out[2].append(score[some])
+                out[3].append(np.where(np.arange(len(some)) == 0, len(hit), 0))
+            if out[0]:
+                at = np.concatenate(out[1])
+                yield pa.record_batch([pa.array(np.concatenate(out[0]), pa.int64()), ids.take(pa.array(at)), pa.array(np.concatenate(out[2])), pa.array(np.concatenate(out[3]), pa.int64())], ["query_id", "document_id", "score", "matches"])
+
+    parts = matches.rows.mapInArrow(rank, "query_id bigint, document_id string, score double, matches bigint")
+    whole = Window.partitionBy("query_id")
+    by: Column = F.col("score") if decimals is None else F.round("score", decimals)
+    placed = parts.withColumn("total", F.sum("matches").over(whole)).withColumn("rank", F.row_number().over(whole.orderBy(by.desc(), "document_id")))
+    return placed.where(F.col("rank") <= limit).select("query_id", "document_id", "score", "rank", "total")
+
+
 def best(scored: DataFrame, limit: int, decimals: int | None = None) -> DataFrame:
     """The first ``limit`` of each query by score, then id, with ``rank``. ``decimals`` rounds before the comparison."""
     by: Column = F.col("score") if decimals is None else F.round("score", decimals)

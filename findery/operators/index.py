@@ -79,27 +79,41 @@ def build_index(documents: DataFrame, key: str = "document_id", text: str = "tex
     return InvertedIndex(given.mapInArrow(post, POSTINGS), lengths)
 
 
-def matching(documents: DataFrame, words: Sequence[str], key: str = "document_id", text: str = "text") -> InvertedIndex:
-    """An index of the given terms only, without a stored one: a single pass that keeps a row a match and a row a document.
+@dataclass(frozen=True)
+class Matches:
+    """A row for every document: ``document_id, dl, terms, tfs``, of some terms only."""
+
+    rows: DataFrame
+
+    def index(self) -> InvertedIndex:
+        each = self.rows.select(F.explode(F.arrays_zip("terms", "tfs")).alias("p"), "document_id", "dl")
+        return InvertedIndex(each.select(F.col("p.terms").alias("term"), "document_id", F.col("p.tfs").alias("tf"), "dl"), self.rows.select("document_id", "dl"))
+
+
+def match(documents: DataFrame, words: Sequence[str], key: str = "document_id", text: str = "text") -> Matches:
+    """What the given terms match, without a stored index: a single pass over the texts that keeps a small row a document.
 
     The number of terms is that of the queries asked, not of the corpus.
     """
     wanted = frozenset(words)
     given = documents.select(F.col(key).alias("document_id"), F.col(text).alias("text"))
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: tuple[list, ...] = ([], [], [], [])
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            lengths, found = [], []
+            for t in b.column(1).to_pylist():
                 own = terms(t)
-                counts = Counter(x for x in own if x in wanted)
-                for w, n in [("", 0), *counts.items()]:  # no term is empty: this is the document's own row
-                    for column, value in zip(out, (w, i, n, len(own))):
-                        column.append(value)
-            yield pa.record_batch([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64())], POSTINGS.names)
-
-    rows = materialize(given.mapInArrow(post, POSTINGS), "matches")
-    return InvertedIndex(rows.where(F.col("term") != ""), rows.where(F.col("term") == "").select("document_id", "dl"))
+                lengths.append(len(own))
+                found.append(Counter(filter(wanted.__contains__, own)))
+            lists = [pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))]
+            yield pa.record_batch([b.column(0), pa.array(lengths, pa.int64()), *lists], ["document_id", "dl", "terms", "tfs"])
+
+    return Matches(materialize(given.mapInArrow(seek, "document_id string, dl bigint, terms array<string>, tfs array<bigint>"), "matches"))
+
+
+def matching(documents: DataFrame, words: Sequence[str], key: str = "document_id", text: str = "text") -> InvertedIndex:
+    """An index of the given terms only."""
+    return match(documents, words, key, text).index()
 
 
 def document_frequency(postings: DataFrame) -> DataFrame:

@@ -64,11 +64,8 @@ def batch_topk(vectors: DataFrame, queries: DataFrame, limit: int, dimension: in
                 s = q @ x.T
                 if decimals is not None:
                     s = np.round(s, decimals)
-                top = np.argsort(-s, axis=1, kind="stable")[:, :limit]
-                flat = top.ravel()
-                yield pa.record_batch(
-                    [pa.array(np.repeat(ids, top.shape[1])), pa.array(names[order][flat], pa.string()), pa.array(np.take_along_axis(s, top, 1).ravel())], ["query_id", "document_id", "score"]
-                )
+                r, c = _first(s, limit)
+                yield pa.record_batch([pa.array(np.asarray(ids)[r]), pa.array(names[order][c], pa.string()), pa.array(s[r, c])], ["query_id", "document_id", "score"])
 
         some = good.mapInArrow(nearest, "query_id bigint, document_id string, score double")
         found = some if found is None else found.unionByName(some)
@@ -78,6 +75,20 @@ def batch_topk(vectors: DataFrame, queries: DataFrame, limit: int, dimension: in
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
+def _first(scores: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the ``limit`` highest of each row; ties to the smaller column."""
+    if scores.shape[1] > limit:
+        least = np.partition(scores, scores.shape[1] - limit, axis=1)[:, [scores.shape[1] - limit]]
+        r, c = np.nonzero(scores >= least)
+    else:
+        r, c = (x.ravel() for x in np.indices(scores.shape))
+    order = np.lexsort((c, -scores[r, c], r))
+    r, c = r[order], c[order]
+    first = np.searchsorted(r, r)  # where its row begins
+    kept = np.arange(len(r)) - first < limit
+    return r[kept], c[kept]
+
+
 def _blocks(rows: Iterator) -> Iterator[list]:
     held: list = []
     for r in rows:

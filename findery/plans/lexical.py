@@ -9,7 +9,7 @@ from findery.config import BM25Params
 from findery.functions.analysis import tokens_col
 from findery.functions.formulas import idf
 from findery.operators import bm25
-from findery.operators.index import InvertedIndex, analyzed, build_index, contains, corpus_stats, document_frequency, index_stats, matching, merge_stats, totals
+from findery.operators.index import analyzed, build_index, contains, corpus_stats, document_frequency, index_stats, match, matching, merge_stats, totals
 from findery.operators.sharding import cluster_stats, merged_topk, merged_totals, shard_stats
 from findery.plans import duck
 from findery.sources.scratch import materialize
@@ -20,22 +20,27 @@ REPEATED = ("search", "index", "search")
 LIMIT, DECIMALS = 10, 9
 
 
-def index_for(documents: DataFrame, asked: DataFrame) -> InvertedIndex:
-    """An index that has at least the terms asked for: of these alone while they are few enough to be sent to every task."""
-    words = asked.select("term").distinct().limit(bm25.BROADCAST_TERMS + 1).collect()
-    return matching(documents, [r[0] for r in words]) if len(words) <= bm25.BROADCAST_TERMS else build_index(documents)
-
-
 def search(spark: SparkSession, folder: str, words: tuple[str, ...], params: BM25Params = BM25Params()) -> DataFrame:
     """``query_id, document_id, score`` of one query's matches."""
     return bm25.score(matching(table(spark, folder, "documents"), words), bm25.query_terms(spark, {0: words}), params)
 
 
-def labelled_scores(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """The labelled queries and the scores of all their matches."""
+def labelled_topk(spark: SparkSession, folder: str, limit: int) -> tuple[DataFrame, DataFrame]:
+    """The labelled queries, and the first of each (``query_id, document_id, score, rank, total``)."""
     queries = table(spark, folder, "labelled_queries")
     asked = materialize(bm25.query_table_terms(queries), "labelled-terms")
-    return queries, materialize(bm25.score(index_for(table(spark, folder, "documents"), asked), asked), "labelled-scores")
+    words = [r[0] for r in asked.select("term").distinct().limit(bm25.BROADCAST_TERMS + 1).collect()]
+    documents = table(spark, folder, "documents")
+    if len(words) <= bm25.BROADCAST_TERMS and asked.count() <= bm25.BROADCAST_TERMS:
+        return queries, bm25.batch_topk(match(documents, words), asked, limit, decimals=DECIMALS)
+    scored = materialize(bm25.score(build_index(documents), asked), "labelled-scores")
+    return queries, bm25.best(scored, limit, DECIMALS).join(bm25.match_totals(scored, queries), "query_id")
+
+
+def labelled_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """The score of every match of every labelled query."""
+    asked = materialize(bm25.query_table_terms(table(spark, folder, "labelled_queries")), "labelled-terms")
+    return bm25.score(build_index(table(spark, folder, "documents")), asked)
 
 
 def _shown(hits: DataFrame) -> DataFrame:
@@ -125,13 +130,13 @@ def bm25_scores(spark, folder):
 
 def bm25_totals(spark, folder):
     """Matching documents of every labelled query, 0 where it has no terms or none is known."""
-    queries, scored = labelled_scores(spark, folder)
-    return bm25.match_totals(scored, queries)
+    queries, hits = labelled_topk(spark, folder, 1)
+    return queries.select("query_id").join(hits.select("query_id", "total"), "query_id", "left").select("query_id", F.coalesce("total", F.lit(0)).alias("total"))
 
 
 def bm25_batch_topk(spark, folder):
     """The ten best documents of every labelled query."""
-    return _shown(bm25.best(labelled_scores(spark, folder)[1], LIMIT, DECIMALS)).select("query_id", "document_id", "score", "rank")
+    return _shown(labelled_topk(spark, folder, LIMIT)[1]).select("query_id", "document_id", "score", "rank")
 
 
 def _by_source(spark, folder):
@@ -176,7 +181,7 @@ def shard_merge_topk(spark, folder):
 
 def shard_merge_totals(spark, folder):
     """Matches of every labelled query that has one, summed over sources."""
-    scored = labelled_scores(spark, folder)[1]
+    scored = labelled_scores(spark, folder)
     per = scored.join(_by_source(spark, folder).select("document_id", "shard"), "document_id").groupBy("shard", "query_id").agg(F.count("*").alias("total"))
     return merged_totals(per)
 

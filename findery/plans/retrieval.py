@@ -16,7 +16,7 @@ from findery.operators.evaluation import best_parameters, by_category, losses, p
 from findery.operators.fusion import reciprocal_rank_fusion
 from findery.operators.invariants import vector_violations
 from findery.plans import duck
-from findery.plans.lexical import labelled_scores
+from findery.plans.lexical import labelled_topk
 from findery.sources.scratch import materialize
 from findery.sources.tables import table
 
@@ -102,8 +102,8 @@ def synthetic_texts(spark, folder):
 
 
 def _lists(spark, folder, depth: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    queries, scored = labelled_scores(spark, folder)
-    return queries, bm25.best(scored, depth, 9), _semantic(spark, folder, depth)
+    queries, lexical = labelled_topk(spark, folder, depth)
+    return queries, lexical, _semantic(spark, folder, depth)
 
 
 def _fused(spark, folder, explain: bool = False) -> DataFrame:
