@@ -96,10 +96,14 @@ def _to_bytes(text: str, encoding: str) -> bytes | None:
         return bytes(out)
 
 
+#: Undefined bytes, as 'surrogateescape' marks them.
+_UNDEFINED = re.compile("[\udc80-\udcff]")
+
+
 def _from_bytes(data: bytes, encoding: str) -> str:
     if encoding in ("cp1252", "cp1250", "cp1251"):
-        text = data.decode(encoding, "surrogateescape")
-        return "".join(chr(ord(c) - 0xDC00) if 0xDC80 <= ord(c) <= 0xDCFF else c for c in text)
+        # control characters of the same number
+        return _UNDEFINED.sub(lambda m: chr(ord(m.group()) - 0xDC00), data.decode(encoding, "surrogateescape"))
     return data.decode(encoding, "replace")
 
 
