@@ -10,9 +10,9 @@ only while its distance in b-bit symbols allows the similarity. What is left is
 
 Scale: records of equal shingle sets are one class and only its smallest key takes part; the class is found by an
 aggregation that combines before its shuffle, so a group of copies of any size is one row. Keys that one record alone has
-(nearly all) are dropped before the join. A bucket of more than HOT records is split by the same principle once more: a
-pair within the distance agrees, besides this chunk, on SPLIT_KEEP of SPLIT_WIDTH symbols of one of the other parts.
-Nothing is capped.
+(nearly all) are dropped before the join. A bucket of more than HOT records is compared in blocks spread over the tasks,
+64 bits a comparison, and gives only the near pairs that no bucket before it gives. Candidates are verified in groups, to
+which each shingle set goes once, however many pairs it is in. Nothing is capped.
 
 Null texts, and texts of fewer than ``min_terms`` terms (or than a shingle needs), are in no pair. Repeated texts are
 members of one class. An empty table gives empty tables. Keys must be unique.
@@ -20,9 +20,12 @@ members of one class. An empty table gives empty tables. Keys must be unique.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +39,10 @@ from findery.sources.scratch import materialize
 CHUNKS, WIDTH, ERRORS, BITS = 8, 4, 1, 2
 SYMBOLS = CHUNKS * WIDTH
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
-#: Of a bucket that is split again.
-HOT, SPLIT_WIDTH = 200, 7
-SPLIT_PARTS = (SYMBOLS - WIDTH) // SPLIT_WIDTH
-SPLIT_KEEP = SPLIT_WIDTH - DISTANCE // SPLIT_PARTS
+#: A bucket of more records than HOT is compared in blocks of BLOCK.
+HOT, BLOCK = 200, 2000
+#: Candidate pairs that are verified together.
+TOGETHER = 5000
 #: Keys up to this number are sent to every task (8 bytes each), more are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
 
@@ -102,11 +105,6 @@ def _sets(batch: pa.RecordBatch, width: int, least: int, cache: _Hashes) -> Iter
         yield keys, sets
 
 
-def _agreement(symbols: Column, of: range, keep: int, *more: Column) -> list[Column]:
-    """A key for every choice of ``keep`` of the symbols ``of``."""
-    return [F.xxhash64(*more, *(F.lit(i) for i in chosen), *(symbols[i] for i in chosen)) for chosen in combinations(of, keep)]
-
-
 def _may_be_near(a: Column, b: Column, most: int) -> Column:
     """Whether at most ``most`` of the b-bit symbols differ."""
     x = a.bitwiseXOR(b)
@@ -194,29 +192,43 @@ def near_duplicates(records: DataFrame, key: str = "doc_id", text: str = "text",
 def _candidates(first: DataFrame, similarity: float) -> DataFrame:
     """Distinct pairs a < b that share a key and are near in b-bit symbols."""
     symbols, most = F.col("symbols"), farthest(similarity)
-    keys = [k for c in range(CHUNKS) for k in _agreement(symbols, range(c * WIDTH, (c + 1) * WIDTH), WIDTH - ERRORS)]
-    # the part of the key that numbers its chunk is needed only to split a hot bucket
+    combinations_ = [k for c in range(CHUNKS) for k in combinations(range(c * WIDTH, (c + 1) * WIDTH), WIDTH - ERRORS)]
+    keys = [F.xxhash64(*map(F.lit, k), *(symbols[i] for i in k)) for k in combinations_]
     spread = first.select("record", "sketch", F.posexplode(F.array(*keys)).alias("at", "bucket"))
     shared = spread.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where(F.col("n") > 1)
     shared = materialize(shared, "shared-keys")
     hot = shared.where(F.col("n") > HOT)
-    buckets = shared.where(F.col("n") <= HOT).select("bucket", "record", "sketch")
+    met = _met(shared.where(F.col("n") <= HOT), ["bucket"], most)
     if hot.limit(1).count():
-        buckets = buckets.unionByName(_split(hot, first))
-    a = buckets.select("bucket", F.col("record").alias("class_a"), F.col("sketch").alias("sketch_a"))
-    b = buckets.select("bucket", F.col("record").alias("class_b"), F.col("sketch").alias("sketch_b"))
-    met = a.join(b, (a["bucket"] == b["bucket"]) & (F.col("class_a") < F.col("class_b")) & _may_be_near(F.col("sketch_a"), F.col("sketch_b"), most))
-    return materialize(met.select("class_a", "class_b").distinct(), "candidates")
+        met = met.unionByName(_in_blocks(hot, first, combinations_, most))
+    return materialize(met.distinct(), "candidates")
+
+
+def _met(buckets: DataFrame, by: list[str], most: int, other: DataFrame | None = None, also: Callable[[], Column] | None = None) -> DataFrame:
+    """Pairs of one bucket that are near in b-bit symbols."""
+    names = lambda df, x: df.select(*(F.col(c).alias(f"{c}_{x}") for c in df.columns))
+    near = (F.col("record_a") < F.col("record_b")) & _may_be_near(F.col("sketch_a"), F.col("sketch_b"), most)
+    keys = [F.col(f"{c}_a") == F.col(f"{c}_b") for c in by]
+    joined = names(buckets, "a").join(names(buckets if other is None else other, "b"), reduce(and_, keys) & (near if also is None else near & also()))
+    return joined.select(F.col("record_a").alias("class_a"), F.col("record_b").alias("class_b"))
+
 
+def _in_blocks(hot: DataFrame, first: DataFrame, keys: list[tuple[int, ...]], most: int) -> DataFrame:
+    """Pairs of the hot buckets. Each bucket's members meet in blocks of BLOCK, spread over the tasks; a pair that meets in
+    several buckets is given by the first of them alone, which its symbols tell."""
+    members = hot.select("bucket", "record", "sketch", "at", "n").join(first.select("record", "symbols"), "record")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    one = members.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    two = members.withColumn("block", F.pmod(F.xxhash64("record"), blocks).cast("int"))
 
-def _split(hot: DataFrame, first: DataFrame) -> DataFrame:
-    """Finer buckets for the members of hot ones, from the symbols outside the chunk of the bucket's key."""
-    per_chunk = len(list(combinations(range(WIDTH), WIDTH - ERRORS)))
-    with_symbols = hot.select("bucket", "record", "at").join(first.select("record", "sketch", "symbols"), "record")
-    chunk = (F.col("at") / per_chunk).cast("int")
-    others = F.filter(F.col("symbols"), lambda _, i: (i / WIDTH).cast("int") != chunk)
-    keys = [k for p in range(SPLIT_PARTS) for k in _agreement(F.col("others"), range(p * SPLIT_WIDTH, (p + 1) * SPLIT_WIDTH), SPLIT_KEEP, F.col("bucket"))]
-    return with_symbols.withColumn("others", others).select(F.explode(F.array(*keys)).alias("bucket"), "record", "sketch")
+    def by_first_key() -> Column:
+        equal = lambda i: F.col("symbols_a")[i] == F.col("symbols_b")[i]
+        met_at = F
+        for at, chosen in enumerate(keys):
+            met_at = met_at.when(reduce(and_, map(equal, chosen)), at)
+        return met_at == F.col("at_a")
+
+    return _met(one, ["bucket", "block"], most, two, by_first_key)
 
 
 def _verified(given: DataFrame, key: str, text: str, kind: str, candidates: DataFrame, shingle: int, similarity: float, min_terms: int) -> DataFrame:
@@ -231,25 +243,38 @@ def _verified(given: DataFrame, key: str, text: str, kind: str, candidates: Data
             for keys, sets in _sets(batch, shingle, min_terms, cache):
                 yield pa.record_batch([pa.array(keys, batch.schema.field(0).type), pa.array([_short(s) for s in sets], pa.binary())], ["record", "shingles"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            share = [_jaccard(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(share, pa.float64())], ["class_a", "class_b", "similarity"])
-
     sets = given.join(F.broadcast(ids) if small else ids, key, "left_semi").mapInArrow(shingles, f"record {kind}, shingles binary")
-    sets = materialize(sets, "shingle-sets")
-    a = sets.select(F.col("record").alias("class_a"), F.col("shingles").alias("of_a"))
-    b = sets.select(F.col("record").alias("class_b"), F.col("shingles").alias("of_b"))
-    both = candidates.join(a, "class_a").join(b, "class_b").select("class_a", "class_b", "of_a", "of_b")
-    return both.mapInArrow(compare, f"class_a {kind}, class_b {kind}, similarity double").where(F.col("similarity") >= similarity)
+    sides = max(1, math.ceil(math.sqrt(candidates.count() / TOGETHER)))
+    side = lambda c: F.pmod(F.xxhash64(c), F.lit(sides))
+    grouped = candidates.select((side("class_a") * sides + side("class_b")).cast("int").alias("group"), "class_a", "class_b")
+    needed = grouped.select("group", F.explode(F.array("class_a", "class_b")).alias("record")).distinct()
+    held = needed.join(sets, "record").select("group", F.lit(False).alias("pair"), F.col("record").alias("class_a"), F.lit(None).cast(kind).alias("class_b"), "shingles")
+    rows = held.unionByName(grouped.select("group", F.lit(True).alias("pair"), "class_a", "class_b", F.lit(None).cast("binary").alias("shingles")))
+    placed = rows.repartitionById(sides * sides, F.col("group")) if sides * sides <= 4096 else rows.repartition(4096, "group")
+    compared = placed.sortWithinPartitions("group", "pair").mapInArrow(_compare, f"class_a {kind}, class_b {kind}, similarity double")
+    return compared.where(F.col("similarity") >= similarity)
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Similarity of the pairs of each group; the group's sets come before its pairs."""
+    of, sets = None, {}
+    for batch in batches:
+        group, pair = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+        a, b, shingles = (batch.column(i).to_pylist() for i in (2, 3, 4))
+        share = []
+        for i in range(batch.num_rows):
+            if group[i] != of:
+                of, sets = group[i], {}
+            if pair[i]:
+                x, y = sets[a[i]], sets[b[i]]
+                common = len(x & y)
+                share.append(common / (len(x) + len(y) - common))
+            else:
+                sets[a[i]] = frozenset(np.frombuffer(shingles[i], np.dtype((np.void, SHORT))).tolist())
+        chosen = pa.array(np.flatnonzero(pair))
+        yield pa.record_batch([batch.column(2).take(chosen), batch.column(3).take(chosen), pa.array(share, pa.float64())], ["class_a", "class_b", "similarity"])
 
 
 def _short(hashes: np.ndarray) -> bytes:
     """A set's hashes in SHORT bytes each: sets are what is shuffled most."""
     return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SHORT].tobytes()
-
-
-def _jaccard(a: bytes, b: bytes) -> float:
-    x, y = (np.frombuffer(s, np.dtype((np.void, SHORT))).tolist() for s in (a, b))
-    common = len(set(x).intersection(y))
-    return common / (len(x) + len(y) - common)
