@@ -192,15 +192,15 @@ def near_duplicates(records: DataFrame, key: str = "doc_id", text: str = "text",
 def _candidates(first: DataFrame, similarity: float) -> DataFrame:
     """Distinct pairs a < b that share a key and are near in b-bit symbols."""
     symbols, most = F.col("symbols"), farthest(similarity)
-    combinations_ = [k for c in range(CHUNKS) for k in combinations(range(c * WIDTH, (c + 1) * WIDTH), WIDTH - ERRORS)]
-    keys = [F.xxhash64(*map(F.lit, k), *(symbols[i] for i in k)) for k in combinations_]
+    choices = [k for c in range(CHUNKS) for k in combinations(range(c * WIDTH, (c + 1) * WIDTH), WIDTH - ERRORS)]
+    keys = [F.xxhash64(*map(F.lit, k), *(symbols[i] for i in k)) for k in choices]
     spread = first.select("record", "sketch", F.posexplode(F.array(*keys)).alias("at", "bucket"))
     shared = spread.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where(F.col("n") > 1)
     shared = materialize(shared, "shared-keys")
     hot = shared.where(F.col("n") > HOT)
     met = _met(shared.where(F.col("n") <= HOT), ["bucket"], most)
     if hot.limit(1).count():
-        met = met.unionByName(_in_blocks(hot, first, combinations_, most))
+        met = met.unionByName(_in_blocks(hot, first, choices, most))
     return materialize(met.distinct(), "candidates")
 
 

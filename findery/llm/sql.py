@@ -46,14 +46,21 @@ def _near_duplicates() -> str:
     )
 
 
-def _nearest() -> str:
+def _ngrams() -> str:
+    grams = " UNION ALL ".join(
+        f"SELECT doc_id, {n}::INT AS n, array_to_string(tokens[i : i + {n - 1}], ' ') AS term FROM (SELECT doc_id, tokens, unnest(range(1, len(tokens) + {2 - n})) AS i FROM t)" for n in (1, 2, 3)
+    )
+    return f"WITH t AS (SELECT doc_id, {tokens('text')} AS tokens FROM documents WHERE text IS NOT NULL), g AS ({grams}) SELECT term, n, count(*) AS occurrences, count(DISTINCT doc_id) AS records FROM g GROUP BY term, n HAVING count(*) > 1"
+
+
+def _nearest(chosen: str) -> str:
     valid = "(SELECT * FROM doc_vectors WHERE len(list_filter(vector, lambda x: x <> 0)) > 0)"
     exact = "list_transform(a, lambda x: x::DOUBLE / n)"
     u = unit("dv", valid, "vec_id", "vector").replace("CASE WHEN n = 0 THEN a ELSE list_transform(a, lambda x: (x::DOUBLE / n)::FLOAT) END", exact)
     return (
         f"WITH {u}, m AS (SELECT a.id AS a, b.id AS b, round({dot('a.v', 'b.v')}, 6) AS s FROM dv a JOIN dv b ON a.id <> b.id), "
         "r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS k FROM m) "
-        "SELECT DISTINCT least(a, b) AS vec_id_a, greatest(a, b) AS vec_id_b FROM r WHERE k <= 5"
+        f"SELECT {chosen} FROM r WHERE k <= 5"
     )
 
 
@@ -93,9 +100,11 @@ def _leaks() -> str:
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"WITH {_figures()} SELECT df.field, df.term, CASE WHEN df <= 2 THEN 'rare' ELSE 'common' END AS mark FROM df JOIN total ON df.field = total.field WHERE df <= 2 OR df > 0.2::DOUBLE * n",
+        "p1_ngrams": _ngrams(),
         "p2_found": _distinctive(),
         "p3_found": _near_duplicates(),
-        "p4_found": _nearest(),
+        "p4_found": _nearest("DISTINCT least(a, b) AS vec_id_a, greatest(a, b) AS vec_id_b"),
+        "p4_hits": _nearest("a AS vec_id, b AS neighbour, s AS score, k::INT AS hit_rank"),
         "p5_found": _boundaries(),
         "p6_found": _fused(),
         "p8_found": _leaks(),

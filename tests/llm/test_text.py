@@ -214,6 +214,14 @@ def test_near_duplicates_edge_cases(spark):
     assert near_duplicates(table(spark, [None, "", "one two"])).record_pairs("doc_id").count() == 0
 
 
+def test_every_pair_within_the_distance_shares_a_key():
+    rng = random.Random(11)
+    chunks = [range(c * nd.WIDTH, (c + 1) * nd.WIDTH) for c in range(nd.CHUNKS)]
+    for _ in range(3000):
+        differ = set(rng.sample(range(nd.SYMBOLS), rng.randint(0, nd.DISTANCE)))
+        assert any(sum(i in differ for i in c) <= nd.ERRORS for c in chunks)
+
+
 def test_packed_symbols_fit():
     symbols = np.random.default_rng(0).integers(0, 2**32, (50, nd.SYMBOLS), dtype=np.uint32)
     assert nd.packed(symbols).dtype == np.int64 and len(set(nd.packed(symbols).tolist())) == 50
