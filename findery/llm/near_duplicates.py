@@ -218,8 +218,10 @@ def _in_blocks(hot: DataFrame, first: DataFrame, keys: list[tuple[int, ...]], mo
     several buckets is given by the first of them alone, which its symbols tell."""
     members = hot.select("bucket", "record", "sketch", "at", "n").join(first.select("record", "symbols"), "record")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    one = members.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    two = members.withColumn("block", F.pmod(F.xxhash64("record"), blocks).cast("int"))
+    # a given number of partitions, as few bytes make many comparisons here and would be put into one task
+    tasks = max(64, int(first.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    one = members.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).repartition(tasks, "bucket", "block")
+    two = members.withColumn("block", F.pmod(F.xxhash64("record"), blocks).cast("int")).repartition(tasks, "bucket", "block")
 
     def by_first_key() -> Column:
         equal = lambda i: F.col("symbols_a")[i] == F.col("symbols_b")[i]
