@@ -8,8 +8,12 @@ again. A run is predicted the likeliest chain that can be inverted: for chains f
 sequences of several bytes, for others they must decode strictly, and what comes out must be likelier clean text than what
 went in, both in lower case. U+FFFD is what a failed decoding leaves; a run that holds it is garbled and is not restored.
 
+An inversion from UTF-8 is taken as proof if each character it gives is one that clean text has, or if it takes the whole run
+and gives PROOF characters beyond ASCII. Clean text is that of all records, not of the sample: a first pass keeps the texts
+with a run that could be inverted and gathers the characters of all other texts, a second judges the kept texts by them.
+
 All texts are judged whole; only those with a character beyond ASCII can be affected. A worker judges each distinct run
-once. The model has a fixed size (classes × BUCKETS numbers) and is broadcast.
+once. The model has a fixed size (classes × BUCKETS numbers, and at most all characters of Unicode) and is broadcast.
 
 Null, empty and ASCII texts give no row. Repeated rows are reported as often as they come. A table without any sampled run
 gives no row.
@@ -20,13 +24,15 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from findery.sources.scratch import materialize
+
 #: About so many records (never twice as many), none of more characters, are sampled for training.
 SAMPLE_ROWS, SAMPLE_CHARACTERS = 5000, 100_000
 BUCKETS = 1 << 14
@@ -39,6 +45,10 @@ COVERED = 0.5
 UNSEEN = 0.01
 #: Chains that don't start from UTF-8 need so many different runs of so many different characters in a text, or longer ones.
 LONG, LONG_RUNS = 4, 2
+#: Restored characters beyond ASCII that prove a whole inversion, whatever characters they are.
+PROOF = 4
+#: Dashes, quotes and signs that text of any kind may have, be they in the records or not.
+TYPOGRAPHIC = frozenset(map(chr, (*range(0x2010, 0x2028), *range(0x2030, 0x203B), 0x20AC, 0x2122)))
 LOST = "\ufffd"
 
 # Chains of (encoded as, decoded as), first step first. 'utf-8' as the second is decoding with replacement.
@@ -196,19 +206,25 @@ class Verdict:
 
 @dataclass
 class Model:
-    """Log odds of each chain against 'clean', and log probabilities of 'clean', by bucket."""
+    """Log odds of each chain against 'clean', and log probabilities of 'clean', by bucket; the characters that clean text
+    has (None: any may be)."""
 
     odds: np.ndarray
     clean: np.ndarray
+    attested: frozenset[str] | None
 
     def _plain(self, text: str) -> float:
         """How likely clean text is, whatever its case: capitals are as clean, but rare."""
         return float(self.clean[_features(text.lower())].sum())
 
-    def _seen(self, text: str) -> bool:
-        """Whether clean text has characters made of the same pairs of bytes as each of these."""
+    def _proved(self, text: str, whole: bool) -> bool:
+        """Whether an inversion that gives this is no accident: clean text has each of the characters, or others made of the
+        same pairs of bytes; or there are too many of them."""
+        if self.attested is None or whole and sum(c > "\x7f" for c in text) >= PROOF:
+            return True
         floor = float(self.clean.min()) + 0.1
-        return all(bool((self.clean[f] > floor).all()) for c in set(text) if c > "\x7f" and len(f := _features(c)))
+        unknown = {c for c in text if c > "\x7f"} - self.attested - TYPOGRAPHIC
+        return all(bool((self.clean[_features(c)] > floor).all()) for c in unknown)
 
     def judge(self, run: str) -> Verdict | None:
         f = _features(run)
@@ -224,7 +240,7 @@ class Model:
                     break
                 continue
             undone = invert(run, chain)
-            if undone is not None and self._plain(undone[0]) > before and (not proof or self._seen(undone[0])):
+            if undone is not None and self._plain(undone[0]) > before and (not proof or self._proved(*undone)):
                 return Verdict(name(chain), *undone, proof)
         return None
 
@@ -234,7 +250,7 @@ def _fit(runs: list[str]) -> Model:
     counts = np.stack([_counts(runs), *(_counts(_RUN.findall(garble(joined, c))) for c in CHAINS)])
     shares = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
     logs = np.log((1 - UNSEEN) * shares + UNSEEN / BUCKETS)
-    return Model(logs[1:] - logs[0], logs[0])
+    return Model(logs[1:] - logs[0], logs[0], frozenset(joined))
 
 
 def _counts(runs: list[str]) -> np.ndarray:
@@ -275,7 +291,37 @@ def wrongly_decoded(records: DataFrame, key: str = "doc_id", text: str = "text",
     # about sample_rows of all records, by their keys' hashes; a top-k would send as many from every partition
     sampled = F.pmod(F.xxhash64(key), F.lit(max(1, records.count() // sample_rows))) == 0
     sample = given.where(sampled & (F.length(text) <= SAMPLE_CHARACTERS)).select(text).limit(2 * sample_rows).collect()
-    model = spark.sparkContext.broadcast(train(sorted(r[0] for r in sample)))
+    trained = train(sorted(r[0] for r in sample))
+    first = spark.sparkContext.broadcast(replace(trained, attested=None))
+
+    def invertible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The records with a run that could be inverted; at the end one row of the characters of all others."""
+        known: dict[str, bool] = {}
+        characters: set[str] = set()
+        names = [key, text, "characters"]
+        for b in batches:
+            kept = []
+            for at, t in enumerate(b.column(1).to_pylist()):
+                if len(known) > 500_000:
+                    known.clear()
+                runs = set(_RUN.findall(t))
+                for r in runs:
+                    if r not in known:
+                        known[r] = first.value.judge(r) is not None
+                # whatever else a garbled text holds may be garbled beyond inversion
+                if any(map(known.__getitem__, runs)):
+                    kept.append(at)
+                else:
+                    characters.update(*runs)
+            if kept:
+                rows = b.take(pa.array(kept, pa.int64()))
+                yield pa.record_batch([*rows.columns, pa.nulls(len(kept), pa.string())], names)
+        if characters:
+            yield pa.record_batch([pa.nulls(1, b.schema.field(0).type), pa.nulls(1, b.schema.field(1).type), pa.array(["".join(sorted(characters))])], names)
+
+    judged = materialize(given.mapInArrow(invertible, f"`{key}` {kind}, `{text}` string, characters string"), "invertible")
+    characters = judged.where(F.col("characters").isNotNull()).select(F.explode(F.split("characters", "")).alias("c")).distinct()
+    model = spark.sparkContext.broadcast(replace(trained, attested=frozenset(r[0] for r in characters.collect())))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Verdict | None] = {}
@@ -298,4 +344,4 @@ def wrongly_decoded(records: DataFrame, key: str = "doc_id", text: str = "text",
                     column.append(value)
             yield pa.record_batch([b.column(0).take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.string()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.string()), pa.array(out[4], pa.bool_())], [key, "chain", "runs", "restored", "complete"])
 
-    return given.mapInArrow(judge, f"`{key}` {kind}, chain string, runs int, restored string, complete boolean")
+    return judged.where(F.col("characters").isNull()).select(key, text).mapInArrow(judge, f"`{key}` {kind}, chain string, runs int, restored string, complete boolean")

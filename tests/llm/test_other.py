@@ -301,3 +301,14 @@ def test_wrongly_decoded_table(spark):
     assert set(got) == {303, 304} and got[303]["restored"] == "schöne Prüfsumme für die Größe" and got[303]["complete"]
     assert got[304]["restored"].endswith("für")
     assert wrongly_decoded(df.where("false")).count() == 0 and wrongly_decoded(df.where("doc_id = 302")).count() == 0
+
+
+@pytest.mark.parametrize("good", ["10 – 20", "a dağ b", "Ελληνικά"])
+def test_characters_that_the_sample_lacks(spark, good):
+    """What an inversion gives is judged by all records, and a long whole one proves itself."""
+    texts = [t.translate({0x2014: "-", 0x2026: "..."}) for t in texts_of(5, 300)]
+    unsampled = [r[0] for r in spark.range(1000, 1100).where("pmod(xxhash64(id), 2) = 1").take(2)]
+    late = dict(zip(unsampled, ("a dağ b", f"only {garble(good, CHAINS[0])} here")))
+    df = spark.createDataFrame([*enumerate(texts), *late.items()], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["restored"] for r in wrongly_decoded(df, sample_rows=df.count() // 2).collect()}
+    assert got == {unsampled[1]: f"only {good} here"}
