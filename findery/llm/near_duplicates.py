@@ -14,8 +14,9 @@ aggregation that combines before its shuffle, so a group of copies of any size i
 64 bits a comparison, and gives only the near pairs that no bucket before it gives. Candidates are verified in groups, to
 which each shingle set goes once, however many pairs it is in. Nothing is capped.
 
-Null texts, and texts of fewer than ``min_terms`` terms (or than a shingle needs), are in no pair. Repeated texts are
-members of one class. An empty table gives empty tables. Keys must be unique.
+Null texts, and texts of fewer than ``min_terms`` terms (or than a shingle needs), are in no pair; where every record is
+asked for, those of equal terms are one class, and each null text is one of its own. Repeated texts are members of one
+class. An empty table gives empty tables. Keys must be unique.
 """
 
 from __future__ import annotations
@@ -46,6 +47,9 @@ TOGETHER = 5000
 #: Keys up to this number are sent to every task (8 bytes each), more are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
 
+#: So many characters tell of most texts that they have enough terms.
+BEGINNING = 1000
+
 #: Bytes of a shingle's hash that are compared; two different shingles of a pair of records agree once in about 10**9 pairs.
 SHORT = 6
 
@@ -121,10 +125,12 @@ def farthest(similarity: float) -> int:
 
 @dataclass(frozen=True)
 class NearDuplicates:
-    """``members``: key, class_id for every record that takes part; ``pairs``: class_a < class_b, similarity."""
+    """``members``: key, class_id for every record that takes part; ``pairs``: class_a < class_b, similarity; ``others``:
+    record, same for every record that takes no part, ``same`` telling its terms (null for a null text)."""
 
     members: DataFrame
     pairs: DataFrame
+    others: DataFrame
 
     def record_pairs(self, key: str) -> DataFrame:
         """All pairs of records, ``<key>_a`` < ``<key>_b``: of near classes and within each class."""
@@ -135,17 +141,25 @@ class NearDuplicates:
         both = across.unionByName(inside)
         return both.select(F.least(f"{key}_a", f"{key}_b").alias(f"{key}_a"), F.greatest(f"{key}_a", f"{key}_b").alias(f"{key}_b"))
 
-    def groups(self, key: str) -> DataFrame:
-        """``<key>, class_id, group_id, links``: one row a record; the group is the smallest class id that links lead to."""
+    def groups(self, key: str, every: bool = False) -> DataFrame:
+        """``<key>, class_id, group_id, links``: one row a record that takes part, or every record; the group is the smallest
+        class id that links lead to."""
         ends = self.pairs.select(F.col("class_a").alias("v"), F.col("class_b").alias("w"))
         both = materialize(ends.unionByName(ends.select(F.col("w").alias("v"), F.col("v").alias("w"))), "links")
         degree = both.groupBy("v").agg(F.count("*").alias("links")).withColumnRenamed("v", "class_id")
         label = connected(both)
-        return (
+        linked = (
             self.members.join(label.withColumnRenamed("v", "class_id"), "class_id", "left")
             .join(degree, "class_id", "left")
             .select(key, "class_id", F.coalesce("label", "class_id").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
         )
+        if not every:
+            return linked
+        others = materialize(self.others, "others")
+        repeated = others.where(F.col("same").isNotNull()).groupBy("same").agg(F.min("record").alias("class_id"), F.count("*").alias("size")).where(F.col("size") > 1).drop("size")
+        class_id = F.coalesce("class_id", "record")
+        alone = others.join(repeated, "same", "left").select(F.col("record").alias(key), class_id.alias("class_id"), class_id.alias("group_id"), F.lit(0).cast("bigint").alias("links"))
+        return linked.unionByName(alone)
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -186,7 +200,24 @@ def near_duplicates(records: DataFrame, key: str = "doc_id", text: str = "text",
     repeated = first.where(F.col("size") > 1).select("same", F.col("record").alias("class_id"))
     members = signed.select("same", F.col("record").alias(key)).join(repeated, "same", "left").select(key, F.coalesce("class_id", key).alias("class_id"))
     pairs = _verified(given, key, text, kind, _candidates(first, similarity), shingle, similarity, min_terms)
-    return NearDuplicates(members, pairs)
+    return NearDuplicates(members, pairs, _others(records, key, text, kind, max(min_terms, shingle)))
+
+
+def _others(records: DataFrame, key: str, text: str, kind: str, least: int) -> DataFrame:
+    """``record, same`` of the records with fewer than ``least`` terms."""
+
+    def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, same = [], []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                # the cut can change the last term alone
+                if t is not None and (len(terms(t[:BEGINNING])) > least or len(own := terms(t)) >= least):
+                    continue
+                at.append(i)
+                same.append(None if t is None else xxhash.xxh3_128_digest(" ".join(own).encode()))
+            yield pa.record_batch([batch.column(0).take(pa.array(at, pa.int64())), pa.array(same, pa.binary())], ["record", "same"])
+
+    return records.select(F.col(key), F.col(text)).mapInArrow(few, f"record {kind}, same binary")
 
 
 def _candidates(first: DataFrame, similarity: float) -> DataFrame:

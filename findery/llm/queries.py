@@ -49,7 +49,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
     """Class, group and number of links of every document, by runs of five terms and 0.8 or more."""
-    return near_duplicates(table(spark, folder, "documents")).groups("doc_id")
+    return near_duplicates(table(spark, folder, "documents")).groups("doc_id", every=True)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -192,6 +192,13 @@ def test_groups_and_classes(spark):
     assert (0, 4) in pairs and (3, 7) in pairs and (4, 5) in pairs and (0, 3) not in pairs
 
 
+def test_every_record_has_a_group(spark):
+    a = " ".join(f"w{i}" for i in range(60))
+    texts = ["Short text", a, None, "", "short  TEXT!", a + " x1", " \n", None, "!!", "one two three four", a]
+    got = {r["doc_id"]: (r["class_id"], r["group_id"], r["links"]) for r in near_duplicates(table(spark, texts)).groups("doc_id", every=True).collect()}
+    assert got == {0: (0, 0, 0), 4: (0, 0, 0), 1: (1, 1, 1), 10: (1, 1, 1), 5: (5, 1, 1), **{i: (i, i, 0) for i in (2, 7, 9)}, **{i: (3, 3, 0) for i in (3, 6, 8)}}
+
+
 def test_copies_are_one_class(spark):
     """A third of all rows is one text; it takes part once."""
     base = " ".join(f"w{i}" for i in range(40))
