@@ -39,7 +39,7 @@ BUCKETS = 1 << 14
 #: Log odds against 'clean' that a run must reach, for chains from UTF-8 and for others.
 ENOUGH, ENOUGH_IF_WEAK = 0.0, 3.0
 CLEAN_PRIOR = 0.97
-#: Share of a run's characters that must take part in an inversion.
+#: Share of the characters of a run, or of a stretch of it between wide ones, that must take part in an inversion.
 COVERED = 0.5
 #: Share of probability for unseen buckets, the same for every class.
 UNSEEN = 0.01
@@ -81,6 +81,10 @@ CHAINS: tuple[tuple[tuple[str, str], ...], ...] = (
 )
 
 _RUN = re.compile(r"[\x00-\x7f]?[^\x00-\x7f]+[\x00-\x7f]?")
+#: What a single-byte page cannot hold, in text that needs no spaces: such text can surround a garbled stretch.
+_WIDE = "\u2e80-\ua4cf\uac00-\ud7a3\uf900-\ufaff\uff00-\uffef\U00020000-\U0003ffff"
+_STRETCH = re.compile(f"[^\x00-\x7f{_WIDE}]{{2,}}")
+_HAS_WIDE = re.compile(f"[{_WIDE}]")
 _WELL_FORMED = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}")
 
 
@@ -242,7 +246,16 @@ class Model:
             undone = invert(run, chain)
             if undone is not None and self._plain(undone[0]) > before and (not proof or self._proved(*undone)):
                 return Verdict(name(chain), *undone, proof)
-        return None
+        return self._in_part(run) if _HAS_WIDE.search(run) else None
+
+    def _in_part(self, run: str) -> Verdict | None:
+        """The verdict on a run that as a whole is clean, by its stretches between wide characters."""
+        verdicts = {x: v for x in set(_STRETCH.findall(run)) if (v := self.judge(x)) is not None and v.alone}
+        if not verdicts:
+            return None
+        chains = Counter(v.chain for v in verdicts.values())
+        restored = _STRETCH.sub(lambda m: verdicts[m.group()].restored if m.group() in verdicts else m.group(), run)
+        return Verdict(min(chains, key=lambda c: (-chains[c], c)), restored, all(v.whole for v in verdicts.values()), True)
 
 
 def _fit(runs: list[str]) -> Model:

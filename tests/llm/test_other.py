@@ -312,3 +312,12 @@ def test_characters_that_the_sample_lacks(spark, good):
     df = spark.createDataFrame([*enumerate(texts), *late.items()], "doc_id bigint, text string")
     got = {r["doc_id"]: r["restored"] for r in wrongly_decoded(df, sample_rows=df.count() // 2).collect()}
     assert got == {unsampled[1]: f"only {good} here"}
+
+
+@pytest.mark.parametrize("chain", [CHAINS[0], CHAINS[1], CHAINS[8]])
+def test_garbled_stretch_within_a_chinese_sentence(model, chain):
+    before, stretch, after = "磁盘变慢时，协调节点跳过了记录。请重启", "倒排索引", "并检查平均文档长度，夜间重建之后。"
+    text = before + garble(stretch, chain) + after
+    hit = found(model, text)
+    assert encoding._RUN.sub(lambda m: hit[m.group()].restored if m.group() in hit else m.group(), text) == before + stretch + after
+    assert not found(model, before + "“" + stretch + "”——……·" + after)
