@@ -1,8 +1,8 @@
 """How often every n-gram of terms occurs, and in how many records.
 
-Method: a suffix array with common-prefix intervals. Each block of whole records is one token sequence; its suffixes are
-ranked by prefix doubling token by token, so that the suffixes that share their first n tokens are one interval of the
-array. The length of the interval is the number of occurrences. Within an interval the suffixes keep the order of their
+Method: a suffix array to depth ``max_n`` with common-prefix intervals. Each block of whole records is one token sequence;
+its suffixes are ranked one token further a step (no doubling, and no full suffix array: longer n-grams are not counted), so
+that the suffixes that share their first n tokens are one interval of the array. The length of the interval is the number of occurrences. Within an interval the suffixes keep the order of their
 records, so two neighbours of one record are a duplicate adjacency; occurrences less duplicate adjacencies is the number
 of records. A record is never split between blocks, hence the figures of the blocks add up exactly, and Spark sums them
 with partial aggregation before the only shuffle. A term that fills a third of all records is one row per block there.
