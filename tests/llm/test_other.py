@@ -5,6 +5,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -71,14 +72,63 @@ def test_graph_recall(n):
     assert np.mean(hits) > 0.97
 
 
-@pytest.mark.parametrize("shard, most", [(8192, 16384), (300, 400), (300, 120)])
-def test_recall_against_brute_force(spark, monkeypatch, shard, most):
-    monkeypatch.setattr(neighbours, "SHARD_ROWS", shard)
-    monkeypatch.setattr(neighbours, "MAX_SHARD_ROWS", most)
+@pytest.mark.parametrize(
+    "changed",
+    [
+        {},
+        {"SHARD_ROWS": 300, "MAX_SHARD_ROWS": 400},
+        {"SHARD_ROWS": 100, "MAX_SHARD_ROWS": 150, "FANOUT": 3},  # a tree of several levels
+        {"SHARD_ROWS": 100, "MAX_SHARD_ROWS": 150, "FANOUT": 3, "BROADCAST_BYTES": 0, "BROADCAST_NODES": 0},  # centres by shuffle
+        {"SHARD_ROWS": 300, "MAX_SHARD_ROWS": 400, "MAX_ASKING": 200, "MAX_TASKS": 4},  # leaves held by several tasks
+    ],
+)
+def test_recall_against_brute_force(spark, monkeypatch, changed):
+    for name_, value in changed.items():
+        monkeypatch.setattr(neighbours, name_, value)
     x, ids = vectors(1500, 2), list(range(5, 3005, 2))
     assert recall(most_similar(frame(spark, x, ids).repartition(3), width=16), nearest(x, np.array(ids), 5)) > 0.97
 
 
+@pytest.mark.parametrize("k", [30, 100])
+def test_any_k(spark, k):
+    x, ids = vectors(500, 4), list(range(500))
+    assert recall(most_similar(frame(spark, x, ids), width=16, k=k), nearest(x, np.array(ids), k)) > 0.97  # and k of each
+
+
+def test_vectors_without_structure():
+    """40,000 normal vectors of width 64 in 80 regions: routed and searched as the operator does it, 200 of them asking."""
+    x = np.random.default_rng(6).normal(size=(40_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    regions = neighbours._regions(x, len(x), 5, neighbours.TARGET, 80)
+    home = np.concatenate([regions.distances(x[i : i + 4096]).argmin(axis=1) for i in range(0, len(x), 4096)])
+    asking = np.random.default_rng(7).choice(len(x), 200, replace=False)
+    row, region, at_home = regions.asked(x[asking], 5)
+    assert len(regions.centres) == 80 and at_home.sum() == 200
+    hits = defaultdict(list)
+    for leaf in range(80):
+        shard, own = neighbours._Shard(5, neighbours.TARGET), np.flatnonzero(home == leaf)
+        shard.add(pa.array(own), x[own], np.isin(own, asking))
+        others = asking[row[(region == leaf) & ~at_home]]
+        for b in [*shard.complete(), *(shard.answers(pa.array(others), x[others]) if len(others) else ())]:
+            for q, h, s in zip(*(c.to_pylist() for c in b.columns)):
+                hits[q].append((-round(s, 6), h))
+    found = []
+    for q in asking.tolist():
+        sims = np.round(x @ x[q], 6)
+        sims[q] = -9
+        found.append(len({h for _, h in sorted(hits[q])[:5]} & set(np.lexsort((np.arange(len(x)), -sims))[:5].tolist())) / 5)
+    assert np.mean(found) > 0.9
+
+
+def test_stored_vectors_in_many_regions(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SHARD_ROWS", 60)
+    monkeypatch.setattr(neighbours, "MAX_SHARD_ROWS", 100)
+    stored = spark.read.parquet("/root/testdata/sf0.01/doc_vectors.parquet")
+    valid = [(r["vec_id"], r["vector"]) for r in stored.where(neighbours.valid_vector(F.col("vector"))).collect()]
+    want = nearest(np.array([v for _, v in valid], np.float32), np.array([i for i, _ in valid]), 5)
+    assert recall(most_similar(stored), want) > 0.95
+
+
 def test_equal_vectors(spark):
     """A third of all rows is one direction, in different lengths."""
     x = vectors(300, 3)
