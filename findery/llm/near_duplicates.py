@@ -1,18 +1,22 @@
 """Near-duplicate records: pairs whose sets of word shingles have at least a given Jaccard similarity.
 
 Method: a multi-index Hamming join. A record's signature has SYMBOLS minhash symbols; two records differ in each with
-probability 1 - similarity, so near records have a small Hamming distance over symbols. The signature is split into CHUNKS
-chunks of WIDTH symbols. By the pigeonhole principle a pair within distance CHUNKS * (ERRORS + 1) - 1 has a chunk with at
-most ERRORS differing symbols; all ways to miss ERRORS of WIDTH symbols are enumerated as keys, and a join on equal keys
-therefore gives all pairs within that distance (of a similarity of 0.7, more than 0.999 of the pairs share a key).
-The b-bit form of the signature (BITS bits a symbol, packed into one BIGINT) goes along with each key, and a pair is kept
-only while its distance in b-bit symbols allows the similarity. What is left is verified exactly on the full shingle sets.
+probability 1 - similarity, so near records have a small Hamming distance over symbols. The signature is split into chunks.
+By the pigeonhole principle a pair within distance ``Keys.distance`` has a chunk with at most ``Keys.errors`` differing
+symbols; all ways to miss so many of a chunk's symbols are enumerated as keys, and a join on equal keys therefore gives all
+pairs within that distance. ``keys_for`` chooses chunks and errors for the similarity asked for, so that more than REACH of
+the pairs of just that similarity share a key, and refuses a similarity (under about 0.36) for which less than LEAST_REACH
+would. The b-bit form of the signature (BITS bits a symbol, packed into one BIGINT) goes along with each key, and a pair is
+kept while its distance in b-bit symbols is within the guaranteed distance, or allows the similarity if that is farther: no
+pair within the guaranteed distance is dropped. What is left is verified on the full shingle sets, as hashes of SHORT bytes.
 
 Scale: records of equal shingle sets are one class and only its smallest key takes part; the class is found by an
-aggregation that combines before its shuffle, so a group of copies of any size is one row. Keys that one record alone has
-(nearly all) are dropped before the join. A bucket of more than HOT records is compared in blocks spread over the tasks,
-64 bits a comparison, and gives only the near pairs that no bucket before it gives. Candidates are verified in groups, to
-which each shingle set goes once, however many pairs it is in. Nothing is capped.
+aggregation that combines before its shuffle, so a group of copies of any size is one row. Keys of more than HOT records are
+found by a count that combines before its shuffle; their records go another way: they are compared in blocks spread over the
+tasks, 64 bits a comparison, and give only the near pairs that no key before gives. Of the other keys those that one
+record alone has (nearly all) are dropped before the join. Candidates are verified in groups, to which each shingle set
+goes once, however many pairs it is in. Classes of many records are spread over tasks where pairs of records are asked for.
+Nothing is capped.
 
 Null texts, and texts of fewer than ``min_terms`` terms (or than a shingle needs), are in no pair; where every record is
 asked for, those of equal terms are one class, and each null text is one of its own. Repeated texts are members of one
@@ -37,9 +41,9 @@ from pyspark.sql import functions as F
 from findery.functions.analysis import terms
 from findery.sources.scratch import materialize
 
-CHUNKS, WIDTH, ERRORS, BITS = 8, 4, 1, 2
-SYMBOLS = CHUNKS * WIDTH
-DISTANCE = CHUNKS * (ERRORS + 1) - 1
+SYMBOLS, BITS = 32, 2
+#: Share of the pairs of just the similarity asked for that share a key: aimed at, and the least that is accepted.
+REACH, LEAST_REACH = 0.9995, 0.99
 #: A bucket of more records than HOT is compared in blocks of BLOCK.
 HOT, BLOCK = 200, 2000
 #: Candidate pairs that are verified together.
@@ -117,6 +121,44 @@ def _may_be_near(a: Column, b: Column, most: int) -> Column:
     return F.bit_count(x.bitwiseAND(F.lit(sum(1 << BITS * i for i in range(SYMBOLS))))) <= most
 
 
+@dataclass(frozen=True)
+class Keys:
+    """``chunks`` of ``width`` symbols, of which all ways to miss ``errors`` are keys."""
+
+    chunks: int
+    width: int
+    errors: int
+
+    @property
+    def distance(self) -> int:
+        """Pairs within it share a key for certain."""
+        return self.chunks * (self.errors + 1) - 1
+
+    @property
+    def chosen(self) -> list[tuple[int, ...]]:
+        """The symbols of each key."""
+        return [k for c in range(self.chunks) for k in combinations(range(c * self.width, (c + 1) * self.width), self.width - self.errors)]
+
+    def reach(self, similarity: float) -> float:
+        """Probability that a pair of this similarity shares a key."""
+        one = sum(math.comb(self.width, e) * (1 - similarity) ** e * similarity ** (self.width - e) for e in range(self.errors + 1))
+        return 1 - (1 - one) ** self.chunks
+
+
+#: From few selective keys to many.
+SHAPES = (Keys(4, 8, 1), Keys(8, 4, 1), Keys(8, 4, 2))
+
+
+def keys_for(similarity: float) -> Keys:
+    """The first shape that reaches REACH, else the last, if it reaches LEAST_REACH."""
+    if not 0 < similarity <= 1:
+        raise ValueError("similarity must be above 0 and at most 1")
+    shape = next((k for k in SHAPES if k.reach(similarity) >= REACH), SHAPES[-1])
+    if shape.reach(similarity) < LEAST_REACH:
+        raise ValueError(f"pairs of similarity {similarity} would be found with probability {shape.reach(similarity):.3f} only")
+    return shape
+
+
 def farthest(similarity: float) -> int:
     """Differing b-bit symbols that a pair of this similarity exceeds in fewer than 1 of 50,000 cases (4.2 deviations)."""
     p = (1 - similarity) * (1 - 2.0**-BITS)
@@ -134,10 +176,20 @@ class NearDuplicates:
 
     def record_pairs(self, key: str) -> DataFrame:
         """All pairs of records, ``<key>_a`` < ``<key>_b``: of near classes and within each class."""
-        one, two = (self.members.select(F.col("class_id").alias(f"class_{x}"), F.col(key).alias(f"{key}_{x}")) for x in "ab")
-        across = self.pairs.join(one, "class_a").join(two, "class_b").select(f"{key}_a", f"{key}_b")
-        copied = self.members.groupBy("class_id").agg(F.count("*").alias("size")).where(F.col("size") > 1).select(F.col("class_id").alias("class_a"))
-        inside = one.join(copied, "class_a").join(two, (F.col("class_a") == F.col("class_b")) & (F.col(f"{key}_a") < F.col(f"{key}_b"))).select(f"{key}_a", f"{key}_b")
+        sizes = self.members.groupBy("class_id").agg(F.count("*").alias("size")).where(F.col("size") > 1)
+        sizes = materialize(sizes.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")), "class-sizes")
+        large = sizes.where(F.col("blocks") > 1).select("class_id", "blocks")
+        hint = F.broadcast if large.count() <= BROADCAST_KEYS else lambda df: df
+        blocks = F.coalesce("blocks", F.lit(1))
+        # a member is in one block of its class; whatever meets the class meets each block
+        placed = self.members.join(hint(large), "class_id", "left").select("class_id", F.pmod(F.xxhash64(key), blocks).cast("int").alias("block"), key)
+        every = lambda df, on: df.join(hint(large.withColumnRenamed("class_id", on)), on, "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("blocks")
+        one, two = (placed.select(F.col("class_id").alias(f"class_{x}"), "block", F.col(key).alias(f"{key}_{x}")) for x in "ab")
+        first = every(self.pairs, "class_a").join(one, ["class_a", "block"]).select("class_b", f"{key}_a")
+        across = every(first, "class_b").join(two, ["class_b", "block"]).select(f"{key}_a", f"{key}_b")
+        copied = one.join(sizes.select(F.col("class_id").alias("class_a")), "class_a", "left_semi").drop("block")
+        copies = every(copied, "class_a").withColumnRenamed("class_a", "class_b")
+        inside = copies.join(two, ["class_b", "block"]).where(F.col(f"{key}_a") < F.col(f"{key}_b")).select(f"{key}_a", f"{key}_b")
         both = across.unionByName(inside)
         return both.select(F.least(f"{key}_a", f"{key}_b").alias(f"{key}_a"), F.greatest(f"{key}_a", f"{key}_b").alias(f"{key}_b"))
 
@@ -197,6 +249,7 @@ def near_duplicates(records: DataFrame, key: str = "doc_id", text: str = "text",
     signed = materialize(given.mapInArrow(sign, f"record {kind}, same binary, sketch bigint, symbols array<int>"), "signatures")
     classes = signed.groupBy("same").agg(F.min(F.struct("record", "sketch", "symbols")).alias("c"), F.count("*").alias("size"))
     first = classes.select(F.col("c.record").alias("record"), F.col("c.sketch").alias("sketch"), F.col("c.symbols").alias("symbols"), "same", "size")
+    first = materialize(first, "classes")
     repeated = first.where(F.col("size") > 1).select("same", F.col("record").alias("class_id"))
     members = signed.select("same", F.col("record").alias(key)).join(repeated, "same", "left").select(key, F.coalesce("class_id", key).alias("class_id"))
     pairs = _verified(given, key, text, kind, _candidates(first, similarity), shingle, similarity, min_terms)
@@ -222,16 +275,20 @@ def _others(records: DataFrame, key: str, text: str, kind: str, least: int) -> D
 
 def _candidates(first: DataFrame, similarity: float) -> DataFrame:
     """Distinct pairs a < b that share a key and are near in b-bit symbols."""
-    symbols, most = F.col("symbols"), farthest(similarity)
-    choices = [k for c in range(CHUNKS) for k in combinations(range(c * WIDTH, (c + 1) * WIDTH), WIDTH - ERRORS)]
-    keys = [F.xxhash64(*map(F.lit, k), *(symbols[i] for i in k)) for k in choices]
-    spread = first.select("record", "sketch", F.posexplode(F.array(*keys)).alias("at", "bucket"))
-    shared = spread.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where(F.col("n") > 1)
-    shared = materialize(shared, "shared-keys")
-    hot = shared.where(F.col("n") > HOT)
-    met = _met(shared.where(F.col("n") <= HOT), ["bucket"], most)
-    if hot.limit(1).count():
-        met = met.unionByName(_in_blocks(hot, first, choices, most))
+    shape, symbols = keys_for(similarity), F.col("symbols")
+    most = max(shape.distance, farthest(similarity))
+    keys = [F.xxhash64(*map(F.lit, k), *(symbols[i] for i in k)) for k in shape.chosen]
+    buckets = F.explode(F.array(*keys)).alias("bucket")
+    hot = materialize(first.select(buckets).groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > HOT), "hot-keys")
+    hot_keys = hot.count()
+    spread, hint = first.select("record", "sketch", buckets), F.broadcast if hot_keys <= BROADCAST_KEYS else lambda df: df
+    if hot_keys:
+        spread = spread.join(hint(hot.select("bucket")), "bucket", "left_anti")
+    shared = spread.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where(F.col("n") > 1).select("bucket", "record", "sketch")
+    met = _met(materialize(shared, "shared-keys"), ["bucket"], most)
+    if hot_keys:
+        whole = first.select("record", "sketch", "symbols", F.posexplode(F.array(*keys)).alias("at", "bucket"))
+        met = met.unionByName(_in_blocks(whole.join(hint(hot), "bucket"), shape.chosen, most))
     return materialize(met.distinct(), "candidates")
 
 
@@ -244,13 +301,12 @@ def _met(buckets: DataFrame, by: list[str], most: int, other: DataFrame | None =
     return joined.select(F.col("record_a").alias("class_a"), F.col("record_b").alias("class_b"))
 
 
-def _in_blocks(hot: DataFrame, first: DataFrame, keys: list[tuple[int, ...]], most: int) -> DataFrame:
-    """Pairs of the hot buckets. Each bucket's members meet in blocks of BLOCK, spread over the tasks; a pair that meets in
-    several buckets is given by the first of them alone, which its symbols tell."""
-    members = hot.select("bucket", "record", "sketch", "at", "n").join(first.select("record", "symbols"), "record")
+def _in_blocks(members: DataFrame, keys: list[tuple[int, ...]], most: int) -> DataFrame:
+    """Pairs of the hot keys. Each key's ``members`` meet in blocks of BLOCK, spread over the tasks; a pair that shares
+    several keys is given by the first of them alone, which its symbols tell."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     # a given number of partitions, as few bytes make many comparisons here and would be put into one task
-    tasks = max(64, int(first.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tasks = max(64, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     one = members.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).repartition(tasks, "bucket", "block")
     two = members.withColumn("block", F.pmod(F.xxhash64("record"), blocks).cast("int")).repartition(tasks, "bucket", "block")
 

@@ -221,12 +221,42 @@ def test_near_duplicates_edge_cases(spark):
     assert near_duplicates(table(spark, [None, "", "one two"])).record_pairs("doc_id").count() == 0
 
 
-def test_every_pair_within_the_distance_shares_a_key():
+@pytest.mark.parametrize("shape", nd.SHAPES)
+def test_every_pair_within_the_distance_shares_a_key(shape):
     rng = random.Random(11)
-    chunks = [range(c * nd.WIDTH, (c + 1) * nd.WIDTH) for c in range(nd.CHUNKS)]
-    for _ in range(3000):
-        differ = set(rng.sample(range(nd.SYMBOLS), rng.randint(0, nd.DISTANCE)))
-        assert any(sum(i in differ for i in c) <= nd.ERRORS for c in chunks)
+    for _ in range(2000):
+        differ = set(rng.sample(range(nd.SYMBOLS), rng.randint(0, shape.distance)))
+        assert any(differ.isdisjoint(k) for k in shape.chosen)
+
+
+def test_keys_follow_the_similarity():
+    for similarity in (0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.97, 1.0):
+        shape = nd.keys_for(similarity)
+        assert shape.chunks * shape.width == nd.SYMBOLS and shape.reach(similarity) > 0.997
+    assert nd.keys_for(0.97).chunks == 4 and nd.keys_for(0.7) == nd.keys_for(0.8) == nd.Keys(8, 4, 1) and nd.keys_for(0.5).errors == 2
+    for bad in (0.3, 0.0, 1.1):
+        with pytest.raises(ValueError):
+            nd.keys_for(bad)
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.6, 0.8])
+def test_recall_at_other_similarities(spark, similarity):
+    rng = random.Random(12)
+    texts = []
+    for at in range(400):  # pairs at and just above the threshold
+        base = [f"w{rng.randrange(5000)}" for _ in range(80)]
+        texts += [" ".join(base), " ".join(base[: int(80 * (similarity + rng.uniform(0, 0.05)))] + [f"x{at}y{i}" for i in range(rng.randint(0, 12))])]
+    want = similar(texts, 2, similarity, 0)
+    found = set(rows(near_duplicates(table(spark, texts), shingle=2, similarity=similarity).record_pairs("doc_id")))
+    assert found <= want and len(want) > 50 and len(found) >= 0.99 * len(want)
+
+
+def test_large_classes_are_spread(spark, monkeypatch):
+    a = " ".join(f"w{i}" for i in range(60))
+    texts = [a, a + " x1", *[a] * 12, *[a + " X1"] * 9]
+    want = rows(near_duplicates(table(spark, texts)).record_pairs("doc_id"))
+    monkeypatch.setattr(nd, "BLOCK", 4)
+    assert rows(near_duplicates(table(spark, texts)).record_pairs("doc_id")) == want == [(i, j) for i in range(23) for j in range(i + 1, 23)]
 
 
 def test_packed_symbols_fit():
