@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findery.config import DEFAULT_LIMIT, BM25Params, FusionConfig, checked_limit
+from findery.config import DEFAULT_LIMIT, BM25Params, RankFusion, checked_limit
 from findery.errors import DocumentNotFound, InvalidDocument, NotReady, SemanticDisabled
 from findery.functions.analysis import terms
 from findery.functions.embedding import Embedder, Identity
@@ -30,7 +30,7 @@ _HYBRID = "document_id string, score double, lexical_rank int, semantic_rank int
 
 
 class SearchEngine:
-    def __init__(self, spark: SparkSession, store: MemoryStore, embedder: Embedder | None = None, bm25_params: BM25Params = BM25Params(), fusion: FusionConfig = FusionConfig(), shards: int = 1) -> None:
+    def __init__(self, spark: SparkSession, store: MemoryStore, embedder: Embedder | None = None, bm25_params: BM25Params = BM25Params(), fusion: RankFusion = RankFusion(), shards: int = 1) -> None:
         self.spark, self.store, self.embedder = spark, store, embedder
         self.bm25_params, self.fusion, self.shards = bm25_params, fusion, shards
         self.state, self.detail = "starting", "not built yet"

@@ -80,6 +80,7 @@ def batch_topk(matches: Matches, asked: DataFrame, limit: int, params: BM25Param
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries, idf, average = sent.value
+        kept = _Kept(limit, decimals)
         for batch in batches:
             ids = batch.column(0)
             lengths, lists = batch.column(1).to_numpy(), batch.column(2)
@@ -118,13 +119,48 @@ def batch_topk(matches: Matches, asked: DataFrame, limit: int, params: BM25Param
                 out[3].append(np.where(np.arange(len(some)) == 0, len(hit), 0))
             if out[0]:
                 at = np.concatenate(out[1])
-                yield pa.record_batch([pa.array(np.concatenate(out[0]), pa.int64()), ids.take(pa.array(at)), pa.array(np.concatenate(out[2])), pa.array(np.concatenate(out[3]), pa.int64())], ["query_id", "document_id", "score", "matches"])
-
-    parts = matches.rows.mapInArrow(rank, "query_id bigint, document_id string, score double, matches bigint")
-    whole = Window.partitionBy("query_id")
-    by: Column = F.col("score") if decimals is None else F.round("score", decimals)
-    placed = parts.withColumn("total", F.sum("matches").over(whole)).withColumn("rank", F.row_number().over(whole.orderBy(by.desc(), "document_id")))
-    return placed.where(F.col("rank") <= limit).select("query_id", "document_id", "score", "rank", "total")
+                kept.add(np.concatenate(out[0]), ids.take(pa.array(at)), np.concatenate(out[2]), np.concatenate(out[3]))
+        yield from kept.rows()
+
+    parts = materialize(matches.rows.mapInArrow(rank, "query_id bigint, document_id string, score double, matches bigint"), "task-best")
+    # totals apart, so that each task's part of the ranking is cut before the shuffle
+    totals_ = parts.groupBy("query_id").agg(F.sum("matches").alias("total"))
+    return best(parts.drop("matches"), limit, decimals).join(totals_, "query_id").select("query_id", "document_id", "score", "rank", "total")
+
+
+class _Kept:
+    """A task's best rows of each query so far; they are cut to ``limit`` a query whenever they have doubled."""
+
+    def __init__(self, limit: int, decimals: int | None) -> None:
+        self.limit, self.decimals, self.parts, self.held, self.bound = limit, decimals, [], 0, 1 << 16
+
+    def add(self, query: np.ndarray, ids: pa.Array, score: np.ndarray, matches: np.ndarray) -> None:
+        self.parts.append((query, ids, score, matches))
+        self.held += len(query)
+        if self.held > self.bound:
+            self._cut()
+            self.bound = max(self.bound, 2 * self.held)
+
+    def _cut(self) -> None:
+        query, score, matches = (np.concatenate([p[i] for p in self.parts]) for i in (0, 2, 3))
+        ids = pa.concat_arrays([p[1] for p in self.parts])
+        compared = score if self.decimals is None else np.round(score, self.decimals)
+        names = np.array(ids.to_pylist(), object)
+        place = np.argsort(np.argsort(names, kind="stable"), kind="stable")
+        order = np.lexsort((place, -compared, query))
+        of = query[order]
+        kept = order[np.arange(len(of)) - np.searchsorted(of, of) < self.limit]
+        # a query's first row has the matches of all
+        distinct, first = np.unique(query[kept], return_index=True)
+        sums = np.zeros(len(kept), np.int64)
+        sums[first] = np.bincount(np.searchsorted(distinct, query), matches, len(distinct)).astype(np.int64)
+        self.parts, self.held = [(query[kept], ids.take(pa.array(kept)), score[kept], sums)], len(kept)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            self._cut()
+            query, ids, score, matches = self.parts[0]
+            yield pa.record_batch([pa.array(query, pa.int64()), ids, pa.array(score), pa.array(matches, pa.int64())], ["query_id", "document_id", "score", "matches"])
 
 
 def best(scored: DataFrame, limit: int, decimals: int | None = None) -> DataFrame:

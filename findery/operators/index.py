@@ -79,6 +79,34 @@ def build_index(documents: DataFrame, key: str = "document_id", text: str = "tex
     return InvertedIndex(given.mapInArrow(post, POSTINGS), lengths)
 
 
+def counted_index(documents: DataFrame, key: str = "document_id", text: str = "text", along: str | None = None) -> InvertedIndex:
+    """Both tables where both are used: the texts are analyzed once, into a written table with a row a document.
+
+    ``along`` is a string column of the documents that both tables are to have.
+    """
+    given = documents.select(F.col(key).alias("document_id"), F.col(text).alias("text"), *([along] if along else []))
+    shape, names = _COUNTED + f", `{along}` string" * bool(along), ["document_id", "dl", "terms", "tfs"] + [along] * bool(along)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                lengths, words, tfs, ends = [], [], [], [0]
+                for own in map(terms, part.column(1).to_pylist()):
+                    counts = Counter(own)
+                    lengths.append(len(own))
+                    words.extend(counts.keys())
+                    tfs.extend(counts.values())
+                    ends.append(len(words))
+                lists = (pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x) for x in (pa.array(words, pa.string()), pa.array(tfs, pa.int64())))
+                yield pa.record_batch([part.column(0), pa.array(lengths, pa.int64()), *lists, *part.columns[2:]], names)
+
+    return Matches(materialize(given.mapInArrow(count, shape), "counted")).index()
+
+
+_COUNTED = "document_id string, dl bigint, terms array<string>, tfs array<bigint>"
+
+
 @dataclass(frozen=True)
 class Matches:
     """A row for every document: ``document_id, dl, terms, tfs``, of some terms only."""
@@ -86,8 +114,9 @@ class Matches:
     rows: DataFrame
 
     def index(self) -> InvertedIndex:
-        each = self.rows.select(F.explode(F.arrays_zip("terms", "tfs")).alias("p"), "document_id", "dl")
-        return InvertedIndex(each.select(F.col("p.terms").alias("term"), "document_id", F.col("p.tfs").alias("tf"), "dl"), self.rows.select("document_id", "dl"))
+        along = [c for c in self.rows.columns if c not in ("document_id", "dl", "terms", "tfs")]
+        each = self.rows.select(F.explode(F.arrays_zip("terms", "tfs")).alias("p"), "document_id", "dl", *along)
+        return InvertedIndex(each.select(F.col("p.terms").alias("term"), "document_id", F.col("p.tfs").alias("tf"), "dl", *along), self.rows.select("document_id", "dl", *along))
 
 
 def match(documents: DataFrame, words: Sequence[str], key: str = "document_id", text: str = "text") -> Matches:
@@ -108,7 +137,7 @@ def match(documents: DataFrame, words: Sequence[str], key: str = "document_id",
             lists = [pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))]
             yield pa.record_batch([b.column(0), pa.array(lengths, pa.int64()), *lists], ["document_id", "dl", "terms", "tfs"])
 
-    return Matches(materialize(given.mapInArrow(seek, "document_id string, dl bigint, terms array<string>, tfs array<bigint>"), "matches"))
+    return Matches(materialize(given.mapInArrow(seek, _COUNTED), "matches"))
 
 
 def matching(documents: DataFrame, words: Sequence[str], key: str = "document_id", text: str = "text") -> InvertedIndex:

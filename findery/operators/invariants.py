@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from findery.functions.vectors import finite, norm, NORM_TOLERANCE
-from findery.operators.index import InvertedIndex, build_index
+from findery.operators.index import InvertedIndex, counted_index
 
 
 def _rule(df: DataFrame, rule: str, subject: str = "document_id") -> DataFrame:
@@ -58,7 +58,7 @@ def engine_violations(documents: DataFrame, index: InvertedIndex, vectors: DataF
     Every document has its length and postings as the analyzer gives them, and nothing else has; the same for vectors, if
     any; ``generations`` of store and derived state are equal.
     """
-    fresh = build_index(documents)
+    fresh = counted_index(documents)
     ids = lambda df: df.select("document_id").distinct()
     rules = [
         _rule(ids(documents).join(ids(index.lengths), "document_id", "left_anti"), "not indexed"),

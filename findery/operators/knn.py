@@ -40,8 +40,8 @@ def vector_topk(vectors: DataFrame, query: Sequence[float], limit: int, dimensio
 def batch_topk(vectors: DataFrame, queries: DataFrame, limit: int, dimension: int, decimals: int | None = None) -> DataFrame:
     """``query_id, document_id, score, rank``; ``queries`` (``query_id, vector``) are a stated set, taken in blocks.
 
-    A block of queries is sent to every task and multiplied with each batch of vectors; a batch keeps ``limit`` rows a
-    query, and these are merged. Both sides must be unit vectors. Badly formed vectors and queries are left out.
+    A block of queries is sent to every task and multiplied with its vectors; a task keeps ``limit`` rows a query, and these
+    are merged. Both sides must be unit vectors. Badly formed vectors and queries are left out.
     """
     if limit < 1:
         raise ValueError("limit must be at least 1")
@@ -55,17 +55,26 @@ def batch_topk(vectors: DataFrame, queries: DataFrame, limit: int, dimension: in
 
         def nearest(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             ids, q = block.value
+            best, known = np.empty((len(ids), 0)), np.empty((len(ids), 0), object)
             for b in batches:
                 if not b.num_rows:
                     continue
                 names = np.array(b.column(0).to_pylist(), object)
-                order = np.argsort(names, kind="stable")  # ties to the smaller id
-                x = np.asarray(b.column(1).flatten(), np.float64).reshape(b.num_rows, -1)[order]
-                s = q @ x.T
+                s = q @ np.asarray(b.column(1).flatten(), np.float64).reshape(b.num_rows, -1).T
                 if decimals is not None:
                     s = np.round(s, decimals)
+                order = np.argsort(names, kind="stable")  # ties to the smaller id
+                s, r_names = s[:, order], names[order]
                 r, c = _first(s, limit)
-                yield pa.record_batch([pa.array(np.asarray(ids)[r]), pa.array(names[order][c], pa.string()), pa.array(s[r, c])], ["query_id", "document_id", "score"])
+                width = min(limit, s.shape[1])
+                best = np.concatenate([best, s[r, c].reshape(-1, width)], axis=1)
+                known = np.concatenate([known, r_names[c].reshape(-1, width)], axis=1)
+                if best.shape[1] > limit:
+                    place = np.argsort(np.argsort(known.ravel(), kind="stable"), kind="stable").reshape(known.shape)
+                    first = np.lexsort((place, -best), axis=1)[:, :limit]
+                    best, known = np.take_along_axis(best, first, 1), np.take_along_axis(known, first, 1)
+            if best.shape[1]:
+                yield pa.record_batch([pa.array(np.repeat(np.asarray(ids), best.shape[1])), pa.array(known.ravel(), pa.string()), pa.array(best.ravel())], ["query_id", "document_id", "score"])
 
         some = good.mapInArrow(nearest, "query_id bigint, document_id string, score double")
         found = some if found is None else found.unionByName(some)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from findery.operators.index import InvertedIndex, build_index
@@ -54,8 +54,8 @@ def classify(log: DataFrame, arrival: list[Column], start: Column | None = None,
 def missing_generations(log: DataFrame) -> DataFrame:
     """``shard_id, first, last``: stretches of generations that no row of the log has, up to the shard's last."""
     seen = log.where(F.col("generation").isNotNull()).select("shard_id", "generation").distinct()
-    before = F.coalesce(F.lag("generation").over(Window.partitionBy("shard_id").orderBy("generation")), F.lit(0))
-    return seen.withColumn("before", before).where(F.col("generation") > F.col("before") + 1).select("shard_id", (F.col("before") + 1).alias("first"), (F.col("generation") - 1).alias("last"))
+    met = running_max_before(seen, ["shard_id"], [F.col("generation")], "generation")
+    return met.withColumn("before", F.coalesce("before", F.lit(0))).where(F.col("generation") > F.col("before") + 1).select("shard_id", (F.col("before") + 1).alias("first"), (F.col("generation") - 1).alias("last"))
 
 
 def compact(log: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -101,26 +101,32 @@ def delete_outcomes(before: DataFrame, ids: DataFrame) -> DataFrame:
     return ids.select("document_id").distinct().join(had, "document_id", "left").select("document_id", F.coalesce("deleted", F.lit(False)).alias("deleted"))
 
 
+#: What a copy's generation says beside the primary's: by the sign of their difference, or None if either is unknown.
+STANDING = {0: "ready", 1: "out_of_sync", -1: "recovering", None: "recovering"}
+
+
 @dataclass(frozen=True)
 class SyncDecision:
-    """What a copy does after comparing its generation with the primary's; ``copy`` means pull a whole snapshot."""
+    """A copy's state beside its primary, and by how many generations it is behind (0 unless it can be brought up)."""
 
     state: str
-    copy: bool
-    detail: str
+    behind: int = 0
+
+    @property
+    def copy(self) -> bool:
+        """Whether the primary's snapshot is to be taken over."""
+        return self.behind > 0
 
 
 def decide_sync(local: int, remote: int | None) -> SyncDecision:
-    """``remote`` is None when the primary cannot be reached."""
-    if remote is None:
-        return SyncDecision("recovering", False, "primary unreachable, synchronization unverified")
-    if local == remote:
-        return SyncDecision("ready", False, "synchronized with the primary")
-    if local > remote:
-        return SyncDecision("out_of_sync", False, f"ahead of the primary: local {local}, primary {remote}")
-    return SyncDecision("recovering", True, f"resynchronizing from generation {local}")
+    """``remote`` is None while nothing is known of the primary."""
+    ahead = None if remote is None else local - remote
+    sign = ahead if not ahead else ahead // abs(ahead)
+    return SyncDecision(STANDING[sign], max(0, -(ahead or 0)))
 
 
 def sync_state(local: Column, remote: Column) -> Column:
-    """The same decision's state as a Column."""
-    return F.when(remote.isNull() | local.isNull(), "recovering").when(local == remote, "ready").when(local > remote, "out_of_sync").otherwise("recovering")
+    """The state of ``decide_sync`` as a Column."""
+    sign = F.signum((local - remote).cast("double")).cast("int")
+    known = F.create_map(*(F.lit(x) for pair in STANDING.items() if pair[0] is not None for x in pair))
+    return F.coalesce(known[sign], F.lit(STANDING[None]))

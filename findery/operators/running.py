@@ -17,17 +17,19 @@ from findery.sources.scratch import materialize
 HOT_ROWS = 200_000
 
 
-def running_totals(df: DataFrame, by: list[str], order: list[Column], value: Callable[[Column], Column], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``df`` with ``position`` (from 1), ``running`` (sum of ``value(position)`` so far), ``in_group`` and ``group_sum``.
+def running_totals(df: DataFrame, by: list[str], order: list[Column], values: dict[str, Callable[[Column], Column]], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``df`` with ``position`` (from 1), ``in_group``, and for each of ``values``, a function of the position, its sum so
+    far under its name and the group's sum as ``<name>_all``.
 
     ``order`` must tell all rows of a group apart; null keys are a group like any other.
     """
+
     def cold(rows: DataFrame) -> DataFrame:
         sorted_, whole = Window.partitionBy(*by).orderBy(*order), Window.partitionBy(*by)
         upto = sorted_.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        numbered = rows.withColumn("position", F.row_number().over(sorted_).cast("bigint"))
-        summed = numbered.withColumn("running", F.sum(value(F.col("position"))).over(upto))
-        return summed.withColumn("in_group", F.count("*").over(whole)).withColumn("group_sum", F.sum(value(F.col("position"))).over(whole))
+        out = rows.withColumn("position", F.row_number().over(sorted_).cast("bigint"))
+        out = out.withColumns({name: F.sum(value(F.col("position"))).over(upto) for name, value in values.items()})
+        return out.withColumns({"in_group": F.count("*").over(whole), **{f"{name}_all": F.sum(value(F.col("position"))).over(whole) for name, value in values.items()}})
 
     large = df.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > hot_rows)
     large = materialize(large, "hot-groups")
@@ -44,10 +46,14 @@ def running_totals(df: DataFrame, by: list[str], order: list[Column], value: Cal
     counts = ranged.groupBy(*by, "stretch").agg(F.count("*").alias("n"))
     counts = counts.withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("in_group", F.sum("n").over(Window.partitionBy(*by))).drop("n")
     numbered = _beside(ranged, counts, [*by, "stretch"]).withColumn("position", F.row_number().over(inside.orderBy(*order)) + F.col("ahead"))
-    numbered = numbered.withColumn("own", F.sum(value(F.col("position"))).over(inside.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    sums = numbered.groupBy(*by, "stretch").agg(F.max_by("own", "position").alias("s"))
-    sums = sums.withColumn("sum_ahead", F.coalesce(F.sum("s").over(before), F.lit(0.0))).withColumn("group_sum", F.sum("s").over(Window.partitionBy(*by))).drop("s")
-    hot = _beside(numbered, sums, [*by, "stretch"]).withColumn("running", F.col("own") + F.col("sum_ahead"))
+    upto = inside.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = numbered.withColumns({f"_own_{name}": F.sum(value(F.col("position"))).over(upto) for name, value in values.items()})
+    hot = numbered
+    if values:
+        sums = numbered.groupBy(*by, "stretch").agg(*(F.max_by(f"_own_{name}", "position").alias(f"_s_{name}") for name in values))
+        ahead = {f"_ahead_{name}": F.coalesce(F.sum(f"_s_{name}").over(before), F.lit(0.0)) for name in values}
+        sums = sums.withColumns(ahead).withColumns({f"{name}_all": F.sum(f"_s_{name}").over(Window.partitionBy(*by)) for name in values}).drop(*(f"_s_{name}" for name in values))
+        hot = _beside(numbered, sums, [*by, "stretch"]).withColumns({name: F.col(f"_own_{name}") + F.col(f"_ahead_{name}") for name in values})
     done = cold(marked.where(F.col("hot").isNull()).drop("hot"))
     return done.unionByName(hot.select(done.columns))
 

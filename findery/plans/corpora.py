@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from findery.functions.hashing import shard_col
-from findery.operators.index import InvertedIndex, build_index
+from findery.operators.index import InvertedIndex, build_index, counted_index
 from findery.operators.invariants import engine_violations, index_violations
 from findery.operators.mutations import changed_index, classify, compact, delete_outcomes, missing_generations, operation, readable, sync_state, touched, upsert_outcomes
 from findery.operators.sharding import cluster_health, routed, serving_copies, shard_health, topology_faults
@@ -186,7 +186,7 @@ def synchronization(spark, folder):
 
 def _corrupted(spark, folder) -> InvertedIndex:
     """The index without the postings of one frequent term, and with those of another counted once more."""
-    good = build_index(table(spark, folder, "documents"))
+    good = counted_index(table(spark, folder, "documents"))
     p = good.postings.where(F.col("term") != "failover")
     p = p.withColumn("tf", F.when(F.col("term") == "tokenizer", F.col("tf") + 1).otherwise(F.col("tf")))
     return InvertedIndex(p, good.lengths.where(F.col("document_id") != "doc-7"))
@@ -199,7 +199,7 @@ def index_invariant_violations(spark, folder):
 
 def index_is_sound(spark, folder):
     """Violations of the index as built, by rule; none."""
-    return index_violations(build_index(table(spark, folder, "documents"))).groupBy("rule").agg(F.count("*").alias("n"))
+    return index_violations(counted_index(table(spark, folder, "documents"))).groupBy("rule").agg(F.count("*").alias("n"))
 
 
 def engine_cross_checks(spark, folder):

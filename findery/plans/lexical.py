@@ -9,7 +9,7 @@ from findery.config import BM25Params
 from findery.functions.analysis import tokens_col
 from findery.functions.formulas import idf
 from findery.operators import bm25
-from findery.operators.index import analyzed, build_index, contains, corpus_stats, document_frequency, index_stats, match, matching, merge_stats, totals
+from findery.operators.index import analyzed, build_index, contains, corpus_stats, counted_index, document_frequency, index_stats, match, matching, merge_stats, totals
 from findery.operators.sharding import cluster_stats, merged_topk, merged_totals, shard_stats
 from findery.plans import duck
 from findery.sources.scratch import materialize
@@ -33,14 +33,14 @@ def labelled_topk(spark: SparkSession, folder: str, limit: int) -> tuple[DataFra
     documents = table(spark, folder, "documents")
     if len(words) <= bm25.BROADCAST_TERMS and asked.count() <= bm25.BROADCAST_TERMS:
         return queries, bm25.batch_topk(match(documents, words), asked, limit, decimals=DECIMALS)
-    scored = materialize(bm25.score(build_index(documents), asked), "labelled-scores")
+    scored = materialize(bm25.score(counted_index(documents), asked), "labelled-scores")
     return queries, bm25.best(scored, limit, DECIMALS).join(bm25.match_totals(scored, queries), "query_id")
 
 
 def labelled_scores(spark: SparkSession, folder: str) -> DataFrame:
     """The score of every match of every labelled query."""
     asked = materialize(bm25.query_table_terms(table(spark, folder, "labelled_queries")), "labelled-terms")
-    return bm25.score(build_index(table(spark, folder, "documents")), asked)
+    return bm25.score(counted_index(table(spark, folder, "documents")), asked)
 
 
 def _shown(hits: DataFrame) -> DataFrame:
@@ -77,7 +77,7 @@ def document_lengths(spark, folder):
 
 def index_statistics(spark, folder):
     """N, vocabulary, tokens and mean length."""
-    return index_stats(build_index(table(spark, folder, "documents"))).withColumn("avgdl", F.round("avgdl", 6))
+    return index_stats(counted_index(table(spark, folder, "documents"))).withColumn("avgdl", F.round("avgdl", 6))
 
 
 def corpus_stats_for_terms(spark, folder):
@@ -87,7 +87,7 @@ def corpus_stats_for_terms(spark, folder):
 
 def idf_values(spark, folder):
     """idf of every term."""
-    index = build_index(table(spark, folder, "documents"))
+    index = counted_index(table(spark, folder, "documents"))
     return document_frequency(index.postings).crossJoin(F.broadcast(totals(index.lengths))).select("term", F.round(idf(F.col("n"), F.col("df")), 9).alias("idf"))
 
 
@@ -145,17 +145,15 @@ def _by_source(spark, folder):
 
 def shard_statistics(spark, folder):
     """Figures of every source, taken as a shard."""
-    documents = _by_source(spark, folder)
-    index, of = build_index(documents), documents.select("document_id", "shard")
-    per = shard_stats(index.lengths.join(of, "document_id"), index.postings.join(of, "document_id"), "shard")
+    index = counted_index(_by_source(spark, folder), along="shard")
+    per = shard_stats(index.lengths, index.postings, "shard")
     return per.withColumn("avgdl", F.round("avgdl", 6))
 
 
 def cluster_statistics(spark, folder):
     """Figures of all sources together, from those of each."""
-    documents = _by_source(spark, folder)
-    lengths = build_index(documents).lengths.join(documents.select("document_id", "shard"), "document_id")
-    return cluster_stats(shard_stats(lengths, by="shard")).withColumn("avgdl", F.round("avgdl", 6))
+    index = counted_index(_by_source(spark, folder), along="shard")
+    return cluster_stats(shard_stats(index.lengths, by="shard")).withColumn("avgdl", F.round("avgdl", 6))
 
 
 def shard_merge_stats(spark, folder):

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from findery.config import FusionConfig
+from findery.config import RankFusion
 from findery.functions.analysis import tokens_col
 from findery.functions.embedding import Identity, TokenTableEmbedder, TopicEmbedder, fingerprint_col, synthetic_text
 from findery.functions.vectors import norm, storable, well_formed
@@ -107,7 +107,7 @@ def _lists(spark, folder, depth: int) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def _fused(spark, folder, explain: bool = False) -> DataFrame:
-    config = FusionConfig()
+    config = RankFusion()
     _, lexical, semantic = _lists(spark, folder, config.depth(LIMIT))
     return reciprocal_rank_fusion(lexical, semantic, LIMIT, config, explain, 12)
 
@@ -131,7 +131,7 @@ def hybrid_candidate_union_total(spark, folder):
 def _measured(spark, folder) -> tuple[DataFrame, dict[str, DataFrame]]:
     queries, lexical, semantic = _lists(spark, folder, 100)
     lexical, semantic = materialize(lexical, "lexical"), materialize(semantic, "semantic")
-    hybrid = reciprocal_rank_fusion(lexical, semantic, 20, FusionConfig(), decimals=12)
+    hybrid = reciprocal_rank_fusion(lexical, semantic, 20, RankFusion(), decimals=12)
     cut = lambda df: df.where(F.col("rank") <= 20)
     return queries, {name: per_query(df, queries) for name, df in (("hybrid", hybrid), ("lexical", cut(lexical)), ("semantic", cut(semantic)))}
 
@@ -167,7 +167,7 @@ def _swept(spark, folder) -> DataFrame:
     rows = []
     for position, (k, depth) in enumerate(SWEEP):
         to = lambda df: df.where(F.col("rank") <= depth)  # noqa: B023, E731
-        fused = reciprocal_rank_fusion(to(lexical), to(semantic), 20, FusionConfig(k), decimals=12)
+        fused = reciprocal_rank_fusion(to(lexical), to(semantic), 20, RankFusion(k), decimals=12)
         rows.append(summary(per_query(fused, queries)).select(F.lit(position).alias("position"), F.lit(k).alias("rrf_k"), F.lit(depth).alias("depth"), F.round("mrr", 9).alias("mrr"), F.round("recall", 9).alias("recall")))
     return reduce(DataFrame.unionByName, rows)
 

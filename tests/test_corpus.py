@@ -150,7 +150,7 @@ def test_incremental_index_equals_a_new_one(spark):
 
 def test_sync():
     assert [decide_sync(*x).state for x in ((3, 3), (4, 3), (2, 3), (2, None))] == ["ready", "out_of_sync", "recovering", "recovering"]
-    assert decide_sync(2, 3).copy and not decide_sync(2, None).copy
+    assert decide_sync(2, 3).copy and decide_sync(2, 3).behind == 1 and not decide_sync(2, None).copy and not decide_sync(4, 3).copy
 
 
 def test_sync_column(spark):
@@ -228,9 +228,9 @@ def test_health(spark):
 
 def test_running(spark):
     rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.lit(None)).otherwise(F.concat(F.lit("g"), F.col("id") % 70)).alias("g"), (F.col("id") * 7919 % 13).alias("x"), F.col("id").alias("k"))
-    order, value = [F.desc("x"), F.col("k")], lambda p: 1.0 / (60 + p)
-    figures = lambda df: {r["k"]: (r["position"], round(r["running"], 9), r["in_group"], round(r["group_sum"], 9)) for r in df.collect()}
-    assert figures(running_totals(rows, ["g"], order, value, hot_rows=100)) == figures(running_totals(rows, ["g"], order, value))
+    order, values = [F.desc("x"), F.col("k")], {"s": lambda p: 1.0 / (60 + p), "t": lambda _: F.col("k") * 1.0}
+    figures = lambda df: {r["k"]: (r["position"], r["in_group"], *(round(r[c], 9) for c in ("s", "s_all", "t", "t_all"))) for r in df.collect()}
+    assert figures(running_totals(rows, ["g"], order, values, hot_rows=100)) == figures(running_totals(rows, ["g"], order, values))
     highest = lambda df: {r["k"]: r["before"] for r in df.collect()}
     assert highest(running_max_before(rows, ["g"], order, "k", hot_rows=100)) == highest(running_max_before(rows, ["g"], order, "k"))
 
