@@ -1,11 +1,18 @@
 """How often every n-gram of terms occurs, and in how many records.
 
-Method: a suffix array to depth ``max_n`` with common-prefix intervals. Each block of whole records is one token sequence;
-its suffixes are ranked one token further a step (no doubling, and no full suffix array: longer n-grams are not counted), so
-that the suffixes that share their first n tokens are one interval of the array. The length of the interval is the number of occurrences. Within an interval the suffixes keep the order of their
-records, so two neighbours of one record are a duplicate adjacency; occurrences less duplicate adjacencies is the number
-of records. A record is never split between blocks, hence the figures of the blocks add up exactly, and Spark sums them
-with partial aggregation before the only shuffle. A term that fills a third of all records is one row per block there.
+Method: a suffix array with common-prefix intervals. Each block of whole records is one token sequence, whose suffixes end
+with their record. ``SuffixArray`` sorts them to full depth by prefix doubling: the ranks by the first 1, 2, 4, ... tokens
+are kept, and only suffixes that are not told apart yet are sorted again. Two suffixes' common prefix comes from the kept
+ranks by binary descent; those of neighbours are the array of common prefixes. The suffixes that share their first n tokens
+are an interval of the array, between two places where the common prefix is shorter than n, and its length is the number of
+occurrences. Of the suffixes of one record, two that follow each other in the array are a duplicate adjacency; its common
+prefix tells in which intervals both lie. Occurrences less duplicate adjacencies is the number of records. This holds for
+every n; ``max_n`` bounds which are given, and None gives all of them, to the longest record, whose number grows with the
+square of a record's length.
+
+A record is never split between blocks, hence the figures of the blocks add up exactly, and Spark sums them with partial
+aggregation before the only shuffle. A term that fills a third of all records is one row per block there. Memory follows the
+tokens of a block, about BLOCK_TOKENS, or those of one record that has more.
 
 Nulls: a null text has no terms and is not counted as a record. Empty and blank texts are records without terms. Repeated
 records count as often as they come. An empty table gives an empty table. Other columns of the input are not looked at.
@@ -23,74 +30,126 @@ from pyspark.sql import functions as F
 
 from findery.functions.analysis import terms
 
-#: Records of a block. More give fewer rows to merge; memory follows it.
-BLOCK_RECORDS = 4096
-
-
-def intervals(tokens: np.ndarray, record: np.ndarray, max_n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+#: A block is complete with so many tokens. More give fewer rows to merge; memory follows them, at about 100 bytes each.
+BLOCK_TOKENS = 1 << 20
+#: Rows of a batch that is given.
+BATCH_ROWS = 100_000
+
+
+class SuffixArray:
+    """``order``: the suffixes' start positions, sorted; equal ones by position. ``tokens`` are the numbers of all records'
+    tokens one after another, ``lengths`` how many each record has."""
+
+    def __init__(self, tokens: np.ndarray, lengths: np.ndarray) -> None:
+        n = len(tokens)
+        self.record = np.repeat(np.arange(len(lengths)), lengths)
+        self.end = np.repeat(np.cumsum(lengths), lengths)
+        left = self.end - np.arange(n)
+        self.order = np.argsort(tokens, kind="stable")
+        rank, first = self._ranks(tokens[self.order], np.arange(n))
+        at = np.empty(n, np.int32)
+        at[self.order] = rank
+        self.levels = [at]
+        depth = 1
+        while True:
+            # neither told apart from both neighbours nor known to be equal to the end
+            single = first & np.append(first[1:], True)
+            open_ = np.flatnonzero(~single & (left[self.order] >= depth))
+            if not len(open_):
+                return
+            suffix = self.order[open_]
+            beyond = suffix + depth
+            following = np.where(beyond < self.end[suffix], at[np.minimum(beyond, n - 1)].astype(np.int64) + 1, 0)
+            key = at[suffix].astype(np.int64) * (n + 1) + following
+            sorted_ = np.argsort(key, kind="stable")
+            suffix = suffix[sorted_]
+            self.order[open_] = suffix
+            rank, starts = self._ranks(key[sorted_], open_)
+            at = at.copy()
+            at[suffix] = rank
+            first[open_] = starts
+            self.levels.append(at)
+            depth *= 2
+
+    @staticmethod
+    def _ranks(keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of the first of each run of equal keys, and which are first."""
+        first = np.ones(len(keys), bool)
+        first[1:] = keys[1:] != keys[:-1]
+        return np.maximum.accumulate(np.where(first, places, 0)), first
+
+    def common_prefix(self, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+        """Tokens that the suffixes at ``a`` and ``b``, which are not the same, share at their beginning; where these are more than
+        ``most``, any number beyond it."""
+        a, b, shared = a.copy(), b.copy(), np.zeros(len(a), np.int64)
+        end_a, end_b, last = self.end[a], self.end[b], len(self.end) - 1
+        for level in range(min(len(self.levels), max(most, 1).bit_length()) - 1, -1, -1):
+            rank = self.levels[level]
+            same = (a < end_a) & (b < end_b) & (rank[np.minimum(a, last)] == rank[np.minimum(b, last)])
+            step = np.where(same, np.minimum(1 << level, end_a - a), 0)  # equal suffixes may be shorter
+            a, b, shared = a + step, b + step, shared + step
+        return shared
+
+
+def intervals(tokens: np.ndarray, lengths: np.ndarray, max_n: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """For n = 1 .. max_n: n, a start position of every distinct n-gram, its occurrences and its number of records.
 
-    ``tokens`` are the token ids of all records one after another, ``record`` the ascending record number of each.
-    No n-gram crosses a record's end.
+    No n-gram crosses a record's end. ``max_n`` None goes on to the longest record.
     """
-    size = len(tokens)
-    starts, rank = np.arange(size), tokens.astype(np.int64)
-    for n in range(1, max_n + 1):
-        if n > 1:
-            # a suffix needs n tokens of its record; its new rank is that of its first n-1 tokens, then of the nth
-            fits = starts + n - 1 < size
-            starts, rank = starts[fits], rank[fits]
-            same = record[starts] == record[starts + n - 1]
-            starts, rank = starts[same], rank[same]
-            _, rank = np.unique(rank * (int(tokens.max(initial=0)) + 1) + tokens[starts + n - 1], return_inverse=True)
-        if not len(starts):
-            return
-        order = np.argsort(rank, kind="stable")  # the suffix array to depth n; ties in order of record and position
-        ranked, owner = rank[order], record[starts[order]]
-        shares = ranked[1:] == ranked[:-1]  # common prefix of at least n with the suffix before
-        first = np.flatnonzero(np.concatenate(([True], ~shares)))
-        duplicate = np.concatenate(([False], shares & (owner[1:] == owner[:-1])))
-        occurrences = np.diff(np.append(first, len(starts)))
-        yield n, starts[order[first]], occurrences, occurrences - np.add.reduceat(duplicate, first, dtype=np.int64)
-
-
-def _block(texts: list[str | None], max_n: int) -> pa.RecordBatch:
-    ids: defaultdict[str, int] = defaultdict()
-    ids.default_factory = ids.__len__
-    parts, lengths = [], []
-    for text in texts:
-        own = terms(text)
-        parts.append(np.fromiter(map(ids.__getitem__, own), np.int64, len(own)))
-        lengths.append(len(own))
+    longest = int(lengths.max(initial=0))
+    deepest = longest if max_n is None else min(max_n, longest)
+    if not deepest:
+        return
+    array = SuffixArray(tokens, lengths)
+    order = array.order
+    left = array.end[order] - order
+    common = np.zeros(len(order), np.int64)
+    common[1:] = array.common_prefix(order[:-1], order[1:], deepest)
+    # of each record's suffixes, with the one before it in the array
+    owner = array.record[order]
+    by_record = np.argsort(owner, kind="stable")
+    follows = np.flatnonzero(owner[by_record[1:]] == owner[by_record[:-1]]) + 1
+    duplicate = np.zeros(len(order), np.int64)
+    duplicate[by_record[follows]] = array.common_prefix(order[by_record[follows - 1]], order[by_record[follows]], deepest)
+    for n in range(1, deepest + 1):
+        fits = left >= n
+        first = np.flatnonzero(fits & (common < n))
+        occurrences = np.add.reduceat(fits, first, dtype=np.int64)
+        yield n, order[first], occurrences, occurrences - np.add.reduceat(fits & (duplicate >= n), first, dtype=np.int64)
+
+
+def _rows(parts: list[np.ndarray], words: list[str], max_n: int | None) -> Iterator[pa.RecordBatch]:
+    """The counts of one block of records."""
     tokens = np.concatenate(parts) if parts else np.empty(0, np.int64)
-    record = np.repeat(np.arange(len(lengths)), lengths)
-    words = list(ids)
-    grams: list[str] = []
-    sizes, counts, records = [], [], []
-    for n, at, occurrences, in_records in intervals(tokens, record, max_n) if len(tokens) else ():
-        if n == 1:
-            grams += [words[i] for i in tokens[at].tolist()]
-        else:
-            grams += [" ".join([words[i] for i in row]) for row in tokens[at[:, None] + np.arange(n)].tolist()]
-        sizes.append(np.full(len(at), n, np.int32))
-        counts.append(occurrences)
-        records.append(in_records)
-    join = lambda xs, kind: np.concatenate(xs) if xs else np.empty(0, kind)
-    return pa.record_batch(
-        [pa.array(grams, pa.string()), pa.array(join(sizes, np.int32), pa.int32()), pa.array(join(counts, np.int64), pa.int64()), pa.array(join(records, np.int64), pa.int64())],
-        ["term", "n", "occurrences", "records"],
-    )
+    lengths = np.array([len(p) for p in parts], np.int64)
+    for n, at, occurrences, records in intervals(tokens, lengths, max_n):
+        for i in range(0, len(at), BATCH_ROWS):
+            some = slice(i, i + BATCH_ROWS)
+            rows = tokens[at[some][:, None] + np.arange(n)].tolist()
+            grams = [words[r[0]] for r in rows] if n == 1 else [" ".join([words[t] for t in r]) for r in rows]
+            yield pa.record_batch([pa.array(grams, pa.string()), pa.array(np.full(len(grams), n, np.int32)), pa.array(occurrences[some]), pa.array(records[some])], ["term", "n", "occurrences", "records"])
 
 
-def ngram_frequencies(records: DataFrame, text: str = "text", max_n: int = 1) -> DataFrame:
+def ngram_frequencies(records: DataFrame, text: str = "text", max_n: int | None = 1) -> DataFrame:
     """``term, n, occurrences, records`` of every distinct n-gram of terms, n up to ``max_n``; terms joined by a blank."""
-    if max_n < 1:
+    if max_n is not None and max_n < 1:
         raise ValueError("max_n must be at least 1")
+    block_tokens = BLOCK_TOKENS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: defaultdict[str, int] = defaultdict()
+        ids.default_factory = ids.__len__
+        parts, held = [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK_RECORDS):
-                yield _block(batch.column(0).slice(at, BLOCK_RECORDS).to_pylist(), max_n)
+            for t in batch.column(0).to_pylist():
+                own = terms(t)
+                parts.append(np.fromiter(map(ids.__getitem__, own), np.int64, len(own)))
+                held += len(own)
+                if held >= block_tokens:
+                    yield from _rows(parts, list(ids), max_n)
+                    parts, held = [], 0
+                    ids.clear()
+        yield from _rows(parts, list(ids), max_n)
 
     blocks = records.select(F.col(text)).where(F.col(text).isNotNull()).mapInArrow(count, "term string, n int, occurrences bigint, records bigint")
     return blocks.groupBy("term", "n").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))

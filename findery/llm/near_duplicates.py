@@ -63,7 +63,7 @@ _SEEDS = np.random.default_rng(20240229).integers(0, 2**63, (2, SYMBOLS), dtype=
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-class _Hashes(dict):
+class TermHashes(dict):
     """64-bit hash of a term, kept."""
 
     def __missing__(self, term: str) -> int:
@@ -100,7 +100,7 @@ def packed(symbols: np.ndarray) -> np.ndarray:
     return (low << (np.arange(SYMBOLS, dtype=np.uint64) * np.uint64(BITS))).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
-def _sets(batch: pa.RecordBatch, width: int, least: int, cache: _Hashes) -> Iterator[tuple[list, list[np.ndarray]]]:
+def _sets(batch: pa.RecordBatch, width: int, least: int, cache: TermHashes) -> Iterator[tuple[list, list[np.ndarray]]]:
     """Keys and sorted distinct shingle hashes of the records that have enough terms."""
     for at in range(0, batch.num_rows, _BLOCK):
         part = batch.slice(at, _BLOCK)
@@ -235,7 +235,7 @@ def near_duplicates(records: DataFrame, key: str = "doc_id", text: str = "text",
     kind = dict(given.dtypes)[key]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _Hashes()
+        cache = TermHashes()
         for batch in batches:
             for keys, sets in _sets(batch, shingle, min_terms, cache):
                 if not keys:
@@ -327,7 +327,7 @@ def _verified(given: DataFrame, key: str, text: str, kind: str, candidates: Data
     small = ids.count() <= BROADCAST_KEYS
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _Hashes()
+        cache = TermHashes()
         for batch in batches:
             for keys, sets in _sets(batch, shingle, min_terms, cache):
                 yield pa.record_batch([pa.array(keys, batch.schema.field(0).type), pa.array([_short(s) for s in sets], pa.binary())], ["record", "shingles"])

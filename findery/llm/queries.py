@@ -74,16 +74,19 @@ def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    """The first 10 documents of every query by net flow over reciprocal positions in the two lists."""
-    flow = net_flow(table(spark, folder, "hybrid_hits"), {"lexical_score": 1.0, "semantic_score": 1.0}, scale="reciprocal")
+    """The first 10 documents of every query by net flow over reciprocal positions in the two lists. No two of these differ
+    by the preference threshold of 1, so net flow ranks as their sum, which is worked out from it to compare 12 decimals."""
+    flow = net_flow(table(spark, folder, "hybrid_hits"), {"lexical_score": 1.0, "semantic_score": 1.0}, scale="reciprocal", indifference=0.0, preference=1.0)
     total = F.round(F.col("net") * (F.col("items") - 1) / F.col("items") + F.col("mean_utility"), 12)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(total), "document_id"))
     return flow.withColumn("place", place).where(F.col("place") <= 10).select("query_id", "document_id")
 
 
 def p6_flows(spark: SparkSession, folder: str) -> DataFrame:
-    """Flows of every document of every query over score percentiles."""
-    return net_flow(table(spark, folder, "hybrid_hits"), {"lexical_score": 1.0, "semantic_score": 1.0})
+    """Flows of every document of every query over score percentiles, indifferent to differences up to 0.05 and with full
+    preference from 0.5 on."""
+    flow = net_flow(table(spark, folder, "hybrid_hits"), {"lexical_score": 1.0, "semantic_score": 1.0})
+    return flow.select("query_id", "document_id", *(F.round(c, 9).alias(c) for c in ("positive", "negative", "net", "mean_utility")), "items")
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -106,8 +109,9 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_near(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents and items of which a passage of 12 terms is in the document with at most one edit."""
-    return leaks(table(spark, folder, "documents"), table(spark, folder, "eval_passages"))
+    """Documents and items of which a passage of 12 terms is in the document with at most one edit, or a whole item of 5 to
+    11 terms."""
+    return leaks(table(spark, folder, "documents"), table(spark, folder, "eval_passages"), least=5)
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:

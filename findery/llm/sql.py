@@ -90,6 +90,41 @@ def _fused() -> str:
     )
 
 
+def _flows() -> str:
+    """All pairs of a query's documents, for each score."""
+    lists = " UNION ALL ".join(
+        f"SELECT '{c}' AS l, query_id, document_id, 1.0::DOUBLE - ((2 * rank() OVER (PARTITION BY query_id ORDER BY s DESC) + count(*) OVER (PARTITION BY query_id, s) - 1) / 2.0::DOUBLE - 0.5::DOUBLE) / count(*) OVER (PARTITION BY query_id) AS u "
+        f"FROM (SELECT query_id, document_id, max({c}) AS s FROM hybrid_hits WHERE {c} IS NOT NULL AND NOT isnan({c}) AND document_id IS NOT NULL GROUP BY ALL)"
+        for c in ("lexical_score", "semantic_score")
+    )
+    preference = "greatest(0.0::DOUBLE, least(1.0::DOUBLE, ({a}.u - {b}.u - 0.05::DOUBLE) / 0.45::DOUBLE))"
+    return (
+        f"WITH l AS ({lists}), d AS (SELECT DISTINCT query_id, document_id FROM l), n AS (SELECT query_id, count(*) AS items FROM d GROUP BY query_id), "
+        "m AS (SELECT d.query_id, d.document_id, k.l, coalesce(l.u, 0.0::DOUBLE) AS u FROM d CROSS JOIN (SELECT DISTINCT l FROM l) k LEFT JOIN l ON l.l = k.l AND l.query_id = d.query_id AND l.document_id = d.document_id), "
+        f"p AS (SELECT a.query_id, a.document_id, sum({preference.format(a='a', b='b')}) AS plus, sum({preference.format(a='b', b='a')}) AS minus FROM m a JOIN m b ON a.query_id = b.query_id AND a.l = b.l GROUP BY ALL), "
+        "s AS (SELECT query_id, sum(u) AS u FROM m GROUP BY query_id) "
+        "SELECT p.query_id, document_id, round(plus / greatest(items - 1, 1), 9) AS positive, round(minus / greatest(items - 1, 1), 9) AS negative, round((plus - minus) / greatest(items - 1, 1), 9) AS net, round(s.u / items, 9) AS mean_utility, items FROM p JOIN n ON n.query_id = p.query_id JOIN s ON s.query_id = p.query_id"
+    )
+
+
+def _groups() -> str:
+    """Classes of equal shingle sets or terms, links between classes, and what they lead to."""
+    return (
+        f"WITH RECURSIVE t AS MATERIALIZED (SELECT doc_id, {tokens('text')} AS w FROM documents), "
+        "g AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM t WHERE len(w) >= 5)), "
+        "k AS (SELECT doc_id, string_agg(s, '|' ORDER BY s) AS same FROM g GROUP BY doc_id UNION ALL SELECT doc_id, coalesce('#' || array_to_string(w, ' '), '?' || doc_id) FROM t WHERE w IS NULL OR len(w) < 5), "
+        "c AS MATERIALIZED (SELECT doc_id, min(doc_id) OVER (PARTITION BY same) AS class_id FROM k), "
+        "x AS MATERIALIZED (SELECT g.doc_id, s FROM g JOIN c ON g.doc_id = c.doc_id WHERE c.doc_id = class_id), "
+        "n AS (SELECT doc_id, count(*) AS n FROM x GROUP BY doc_id), "
+        "b AS (SELECT a.doc_id AS v, b.doc_id AS w, count(*) AS m FROM x a JOIN x b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL), "
+        "e AS MATERIALIZED (SELECT v, w FROM b JOIN n p ON p.doc_id = v JOIN n q ON q.doc_id = w WHERE m / (p.n + q.n - m)::DOUBLE >= 0.8), "
+        "r AS (SELECT v, v AS label FROM e UNION SELECT e.v, r.label FROM e JOIN r ON r.v = e.w WHERE r.label < e.v), "
+        "h AS (SELECT v, min(label) AS label FROM r GROUP BY v), d AS (SELECT v, count(*) AS links FROM e GROUP BY v), "
+        "z AS (SELECT v, min(label) AS label FROM (SELECT e.v, h.label FROM e JOIN h ON h.v = e.w UNION ALL SELECT v, label FROM h) GROUP BY v) "
+        "SELECT doc_id, class_id, coalesce(label, class_id) AS group_id, coalesce(links, 0) AS links FROM c LEFT JOIN z ON z.v = class_id LEFT JOIN d ON d.v = class_id"
+    )
+
+
 def _leaks() -> str:
     def runs(name: str, table: str, key: str) -> str:
         return f"{name} AS (SELECT DISTINCT {key}, array_to_string(w[i : i + 11], ' ') AS s FROM (SELECT {key}, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT {key}, {tokens('text')} AS w FROM {table} WHERE text IS NOT NULL)))"
@@ -103,9 +138,11 @@ def oracle_sql() -> dict[str, str]:
         "p1_ngrams": _ngrams(),
         "p2_found": _distinctive(),
         "p3_found": _near_duplicates(),
+        "p3_groups": _groups(),
         "p4_found": _nearest("DISTINCT least(a, b) AS vec_id_a, greatest(a, b) AS vec_id_b"),
         "p4_hits": _nearest("a AS vec_id, b AS neighbour, s AS score, k::INT AS hit_rank"),
         "p5_found": _boundaries(),
         "p6_found": _fused(),
+        "p6_flows": _flows(),
         "p8_found": _leaks(),
     }

@@ -158,7 +158,8 @@ def hits(spark, rows):
     return spark.createDataFrame(rows, "query_id bigint, document_id string, a double, b double, g string, i string")
 
 
-def flows(rows, utility):
+def flows(rows, utility, q_, p_):
+    preferred = lambda d: min(1, max(0, (d - q_) / (p_ - q_)))
     lists = defaultdict(lambda: [{}, {}])
     for q, d, a, b, *_ in rows:
         for at, v in enumerate((a, b)):
@@ -168,8 +169,8 @@ def flows(rows, utility):
     for q, two in lists.items():
         us, items = [utility(x) for x in two], {*two[0], *two[1]}
         for d in items:
-            plus = sum(max(0, u.get(d, 0) - u.get(e, 0)) for u in us for e in items)
-            minus = sum(max(0, u.get(e, 0) - u.get(d, 0)) for u in us for e in items)
+            plus = sum(preferred(u.get(d, 0) - u.get(e, 0)) for u in us for e in items)
+            minus = sum(preferred(u.get(e, 0) - u.get(d, 0)) for u in us for e in items)
             out[q, d] = (plus / max(1, len(items) - 1), minus / max(1, len(items) - 1))
     return out
 
@@ -183,9 +184,9 @@ def reciprocals(scores):
     return {d: 1 / (60 + p) for p, (d, _) in enumerate(sorted(scores.items(), key=lambda x: (-x[1], x[0])), 1)}
 
 
-@pytest.mark.parametrize("scale, utility", [("percentile", percentiles), ("reciprocal", reciprocals)])
+@pytest.mark.parametrize("scale, utility, thresholds", [("percentile", percentiles, (0.05, 0.5)), ("percentile", percentiles, (0.0, 1.0)), ("reciprocal", reciprocals, (0.001, 0.004))])
 @pytest.mark.parametrize("hot", [200_000, 40])
-def test_flows_against_all_pairs(spark, monkeypatch, scale, utility, hot):
+def test_flows_against_all_pairs(spark, monkeypatch, scale, utility, thresholds, hot):
     import findery.llm.outranking as module
     from findery.operators.running import running_totals
 
@@ -197,8 +198,8 @@ def test_flows_against_all_pairs(spark, monkeypatch, scale, utility, hot):
         pick = lambda top: rng.choice([None, float("nan"), float("inf"), round(rng.random() * top, 1), 0.0])
         rows.append((q, f"d{rng.randint(0, 120)}", pick(1e6), pick(1), "x", "y"))
     rows += rows[:30] + [(5, "only", 1.0, None, "", ""), (6, "none", None, float("nan"), "", ""), (7, None, 1.0, 1.0, "", "")]
-    got = {(r["query_id"], r["document_id"]): (r["positive"], r["negative"]) for r in net_flow(hits(spark, rows), {"a": 1.0, "b": 1.0}, scale=scale).collect()}
-    want = flows(rows, utility)
+    got = {(r["query_id"], r["document_id"]): (r["positive"], r["negative"]) for r in net_flow(hits(spark, rows), {"a": 1.0, "b": 1.0}, "query_id", "document_id", scale, 60, *thresholds).collect()}
+    want = flows(rows, utility, *thresholds)
     assert got.keys() == want.keys()
     assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
 
@@ -210,6 +211,16 @@ def test_scale_does_not_matter(spark):
     assert net(rows) == net(stretched)
 
 
+def test_thresholds_change_the_order(spark):
+    """One item a little better in the first list, the other much better in the second."""
+    a = {"x": 100, "y": 99, **{f"z{i}": i for i in range(18)}}
+    b = {"y": 60, "x": 10, **{f"z{i}": i * 3.5 for i in range(18)}}
+    rows = [(0, d, float(a[d]), float(b[d]), "", "") for d in a]
+    net = lambda **t: {r["document_id"]: r["net"] for r in net_flow(hits(spark, rows), {"a": 17.0, "b": 1.0}, **t).collect()}
+    strict, tolerant = net(indifference=0.0, preference=0.01), net(indifference=0.1, preference=0.6)
+    assert strict["x"] > strict["y"] and tolerant["x"] < tolerant["y"]
+
+
 def test_flow_edge_cases(spark):
     none = hits(spark, [])
     assert net_flow(none, {"a": 1.0}).count() == 0 and net_flow(hits(spark, [(1, "d", None, None, "", "")]), {"a": 1.0, "b": 1.0}).count() == 0
@@ -220,6 +231,8 @@ def test_flow_edge_cases(spark):
             net_flow(none, bad)
     with pytest.raises(ValueError):
         net_flow(none, {"a": 1.0}, scale="raw")
+    with pytest.raises(ValueError):
+        net_flow(none, {"a": 1.0}, indifference=0.5, preference=0.5)
 
 
 # 7

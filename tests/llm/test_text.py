@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from findery.functions.analysis import terms
 from findery.llm import near_duplicates as nd
 from findery.llm.distinctiveness import query_terms, record_terms
-from findery.llm.frequencies import intervals, map_frequencies, map_record_count, mark, ngram_frequencies
-from findery.llm.leakage import leaks, myers
+from findery.llm.frequencies import SuffixArray, intervals, map_frequencies, map_record_count, mark, ngram_frequencies
+from findery.llm.leakage import Passages, leaks, myers, myers_many
 from findery.llm.near_duplicates import near_duplicates
 from findery.llm.splitting import Offsets, cut_texts, pieces
 
@@ -38,18 +38,43 @@ def rows(df, *columns):
 # 1
 
 
-def test_ngrams_against_counting(spark):
-    texts = sample(1)
-    occurrences, records = Counter(), defaultdict(set)
-    for i, t in enumerate(texts):
-        own = terms(t)
-        for n in (1, 2, 3):
+def counted(records, longest):
+    occurrences, within = Counter(), defaultdict(set)
+    for i, own in enumerate(records):
+        for n in range(1, min(len(own), longest) + 1):
             for at in range(len(own) - n + 1):
-                g = (n, " ".join(own[at : at + n]))
-                occurrences[g] += 1
-                records[g].add(i)
-    got = ngram_frequencies(table(spark, texts).repartition(5), max_n=3)
-    assert rows(got, "n", "term", "occurrences", "records") == sorted(((n, g, c, len(records[n, g])) for (n, g), c in occurrences.items()), key=repr)
+                occurrences[tuple(own[at : at + n])] += 1
+                within[tuple(own[at : at + n])].add(i)
+    return {g: (c, len(within[g])) for g, c in occurrences.items()}
+
+
+@pytest.mark.parametrize("max_n, block", [(3, 1 << 20), (7, 300), (None, 300)])
+def test_ngrams_against_counting(spark, monkeypatch, max_n, block):
+    import findery.llm.frequencies as module
+
+    monkeypatch.setattr(module, "BLOCK_TOKENS", block)
+    texts = sample(1, 60)
+    got = ngram_frequencies(table(spark, texts).repartition(3), max_n=max_n)
+    want = counted([terms(t) for t in texts], max_n or 99)
+    assert rows(got, "n", "term", "occurrences", "records") == sorted(((len(g), " ".join(g), *c) for g, c in want.items()), key=repr)
+
+
+def test_suffix_array_against_sorting():
+    rng = random.Random(13)
+    for _ in range(150):
+        records = [[rng.randrange(rng.choice([1, 2, 4])) for _ in range(rng.randint(0, 14))] for _ in range(rng.randint(1, 6))]
+        records = records[:4] + records[: rng.randint(0, 2)]
+        tokens, lengths = np.array([t for r in records for t in r], np.int64), np.array([len(r) for r in records])
+        suffixes = [(r[at:], sum(lengths[:i]) + at) for i, r in enumerate(records) for at in range(len(r))]
+        array = SuffixArray(tokens, lengths) if len(tokens) else None
+        if array is not None:
+            assert array.order.tolist() == [at for _, at in sorted(suffixes)]
+            of = {at: s for s, at in suffixes}
+            a, b = np.array([(p, q) for p in range(len(tokens)) for q in range(len(tokens)) if p != q], int).reshape(-1, 2).T
+            shared = [next((i for i, (x, y) in enumerate(zip(of[p], of[q])) if x != y), min(len(of[p]), len(of[q]))) for p, q in zip(a.tolist(), b.tolist())]
+            assert array.common_prefix(a, b, 99).tolist() == shared
+        got = {tuple(tokens[p : p + n].tolist()): (c, r) for n, at, count, recs in intervals(tokens, lengths) for p, c, r in zip(at.tolist(), count.tolist(), recs.tolist())}
+        assert got == counted(records, 99)
 
 
 def test_ngrams_edge_cases(spark):
@@ -59,7 +84,7 @@ def test_ngrams_edge_cases(spark):
     assert rows(ngram_frequencies(table(spark, [long] * 3)), "term", "occurrences", "records") == [("word", 150_000, 3)]
     with pytest.raises(ValueError):
         ngram_frequencies(table(spark, ["a"]), max_n=0)
-    assert list(intervals(np.empty(0, np.int64), np.empty(0, np.int64), 2)) == []
+    assert list(intervals(np.empty(0, np.int64), np.empty(0, np.int64), 2)) == list(intervals(np.empty(0, np.int64), np.zeros(3, np.int64))) == []
 
 
 def test_map_counts(spark):
@@ -348,6 +373,9 @@ def test_myers():
         a = [rng.choice("abcd") for _ in range(rng.randint(1, 14))]
         b = [rng.choice("abcd") for _ in range(rng.randint(0, 20))]
         assert myers(a, b) == distance(a, b)
+    for m in (1, 5, 12, 63, 64):
+        a, b = (np.array([[rng.randrange(1, 4) for _ in range(n)] for _ in range(60)], np.uint64) for n in (m, m + 4))
+        assert myers_many(a, b).tolist() == [distance(x, y) for x, y in zip(a.tolist(), b.tolist())]
 
 
 @pytest.mark.parametrize("errors", [0, 1, 2])
@@ -369,7 +397,7 @@ def test_leaks_against_all_passages(spark, errors):
     for i, x in enumerate(texts):
         own = terms(x)
         for k, it in enumerate(items):
-            d = min((distance(it[s : s + 12], own) for s in range(len(it) - 11)), default=99) if len(own) >= 12 else 99
+            d = min((distance(it[s : s + 12], own) for s in range(len(it) - 11)), default=99)
             if d <= errors:
                 want.add((i, 900 + k, d))
     got = leaks(table(spark, texts + [None, ""]), table_items, errors=errors)
@@ -379,7 +407,9 @@ def test_leaks_against_all_passages(spark, errors):
 def test_leaks_edge_cases(spark):
     items = spark.createDataFrame([(1, "a b c d e f g h i j k l"), (2, "a b c d e f g h i j k l")], "item_id bigint, text string")
     texts = ["x " * 30_000 + "A, b; c d e f g h i j k l", "a b c d e f g h i j k", None]
-    assert rows(leaks(table(spark, texts), items)) == [(0, 1, 0), (0, 2, 0)]
+    # a text one term short of the passage is one edit from it
+    assert rows(leaks(table(spark, texts), items)) == [(0, 1, 0), (0, 2, 0), (1, 1, 1), (1, 2, 1)]
+    assert rows(leaks(table(spark, texts), items, errors=0)) == [(0, 1, 0), (0, 2, 0)]
     assert leaks(table(spark, []), items).count() == 0 and leaks(table(spark, texts), items.where("false")).count() == 0
     with pytest.raises(ValueError):
         leaks(table(spark, texts), items, window=2, errors=2)
@@ -392,4 +422,27 @@ def test_leaks_in_blocks(spark, monkeypatch):
     texts = [" ".join(f"w{i}x{j}" for j in range(1, 14)) for i in range(9)]
     want = rows(leaks(table(spark, texts), items))
     monkeypatch.setattr(module, "BLOCK_CHARACTERS", 150)
+    monkeypatch.setattr(module, "_CANDIDATES", 3)
     assert rows(leaks(table(spark, texts), items)) == want == [(i, i, 0) for i in range(9)]
+
+
+def test_short_items_are_found_whole(spark):
+    items = spark.createDataFrame([(1, "one two three four five"), (2, "one two three four"), (3, "five six seven eight nine ten")], "item_id int, text string")
+    texts = ["x One, two three four five six seven", "one two three four", "one two three x four five six seven eight nine ten", None]
+    assert rows(leaks(table(spark, texts), items, least=5)) == [(0, 1, 0), (2, 3, 0)]
+    assert leaks(table(spark, texts), items).count() == 0
+    with pytest.raises(ValueError):
+        leaks(table(spark, texts), items, least=13)
+
+
+def test_many_items_share_a_template():
+    """10,000 items with one beginning: each passage of the template is one, and text with it names every item."""
+    template = [f"t{i}" for i in range(20)]
+    passages = Passages([(i, " ".join([*template, *(f"u{i}x{j}" for j in range(10))])) for i in range(10_000)], 12, 1, 12)
+    (of,) = passages.classes
+    assert len(of.starts) == 9 + 10_000 * 10
+    cache = nd.TermHashes()
+    texts = [np.array([cache[t] for t in own], np.uint64) for own in (template, [*template[14:], *(f"u7x{j}" for j in range(5)), "other", "u7x6"], ["a", "b"])]
+    text, item, distance = passages.found(texts)
+    assert (text == 0).sum() == 10_000 and set(distance[text == 0]) == {0}
+    assert [(passages.keys[i], d) for i, d in zip(item[text == 1], distance[text == 1])] == [(7, 1)] and not (text == 2).any()
