@@ -18,19 +18,22 @@ from findery.functions.embedding import Embedder, Identity
 from findery.functions.hashing import shard_col
 from findery.operators import bm25, knn
 from findery.operators.fusion import reciprocal_rank_fusion
-from findery.operators.index import InvertedIndex, build_index, corpus_stats, index_stats
+from findery.operators.index import corpus_stats, index_stats
 from findery.operators.invariants import engine_violations, index_violations, vector_violations
-from findery.operators.mutations import changed_index, changed_vectors
-from findery.operators.sharding import cluster_stats, shard_stats
-from findery.sources.corpus import MemoryStore
+from findery.operators.sharding import cluster_health, cluster_stats, shard_health, shard_stats
+from findery.operators.stored_index import StoredIndex
+from findery.sources.corpus import DocumentStore
+from findery.sources.layers import merged, mergeable, newest, outgrown
 from findery.sources.scratch import materialize
 
+#: Written ids up to this number are sent to every task.
+_FEW = 100_000
 _HITS = "document_id string, score double, text string, rank int"
 _HYBRID = "document_id string, score double, lexical_rank int, semantic_rank int, lexical_score double, semantic_score double, total bigint, rank int, text string"
 
 
 class SearchEngine:
-    def __init__(self, spark: SparkSession, store: MemoryStore, embedder: Embedder | None = None, bm25_params: BM25Params = BM25Params(), fusion: RankFusion = RankFusion(), shards: int = 1) -> None:
+    def __init__(self, spark: SparkSession, store: DocumentStore, embedder: Embedder | None = None, bm25_params: BM25Params = BM25Params(), fusion: RankFusion = RankFusion(), shards: int = 1) -> None:
         self.spark, self.store, self.embedder = spark, store, embedder
         self.bm25_params, self.fusion, self.shards = bm25_params, fusion, shards
         self.state, self.detail = "starting", "not built yet"
@@ -43,9 +46,8 @@ class SearchEngine:
         self.state, self.detail = "recovering", "building derived state"
         try:
             self.documents = self.store.scan()
-            built = build_index(self.documents)
-            self.index = InvertedIndex(materialize(built.postings, "postings"), materialize(built.lengths, "lengths"))
-            self.vectors = materialize(self.embedder.embed(self.documents), "vectors") if self.embedder else None
+            self.stored = StoredIndex.build(self.documents)
+            self._embed_all()
             self.generation = self.store.generation
         except Exception as error:
             self.state, self.detail = "degraded", f"derived state could not be built: {error}"
@@ -56,14 +58,44 @@ class SearchEngine:
         if self.state != "ready":
             raise NotReady(f"{self.state}: {self.detail}")
 
+    @property
+    def index(self):
+        """The whole inverted index."""
+        return self.stored.index
+
+    @property
+    def vectors(self) -> DataFrame | None:
+        """``document_id, vector`` of all documents, or None without an embedder."""
+        if self.embedder is None:
+            return None
+        return merged(self._vectors, [df for df, _ in self._vector_layers], sum(n for _, n in self._vector_layers), "vector")
+
+    def _embed_all(self) -> None:
+        self._vector_layers: list[tuple[DataFrame, int]] = []
+        self._vectors = materialize(self.embedder.embed(self.documents), "vectors") if self.embedder else None
+
+    def _embed(self, ids: DataFrame, left: DataFrame) -> None:
+        """A layer of the vectors of written documents."""
+        layer = materialize(ids.join(self.embedder.embed(left), "document_id", "left").select(self._vectors.columns), "vector-layer")
+        layers = [*self._vector_layers, (layer, layer.count())]
+        sizes = [n for _, n in layers]
+        if outgrown(self.stored.documents, sizes):
+            self._vector_layers, self._vectors = [], materialize(merged(self._vectors, [df for df, _ in layers], sum(sizes), "vector"), "vectors")
+        elif (at := mergeable(sizes)) < len(sizes):
+            one = materialize(newest([df for df, _ in layers[at:]]), "vector-layer")
+            self._vector_layers = [*layers[:at], (one, one.count())]
+        else:
+            self._vector_layers = layers
+
     def _derive(self, ids: DataFrame) -> None:
+        """Change what is derived of the written documents ``ids``, and nothing else."""
         try:
             self.documents = self.store.scan()
-            new = changed_index(self.index, self.documents, ids)
-            self.index = InvertedIndex(materialize(new.postings.select("term", "document_id", "tf", "dl"), "postings"), materialize(new.lengths, "lengths"))
+            ids = ids.select("document_id").distinct()
+            left = materialize(self.documents.join(F.broadcast(ids) if ids.count() <= _FEW else ids, "document_id", "left_semi").select("document_id", "text"), "written")
+            self.stored = self.stored.changed(ids, left)
             if self.embedder:
-                fresh = self.embedder.embed(self.documents.join(ids, "document_id", "left_semi"))
-                self.vectors = materialize(changed_vectors(self.vectors, fresh, ids), "vectors")
+                self._embed(ids, left)
             self.generation = self.store.generation
         except Exception as error:
             self.state, self.detail = "degraded", f"stored, but derived state could not be changed: {error}"
@@ -78,10 +110,14 @@ class SearchEngine:
         self._derive(outcome.select("document_id"))
         return outcome.withColumn("shard_id", shard_col("document_id", self.shards))
 
-    def delete(self, document_ids: Sequence[str]) -> DataFrame:
-        """Delete; ``document_id, deleted``. A batch in which nothing is found uses no generation."""
+    def delete(self, document_ids: DataFrame | Sequence[str]) -> DataFrame:
+        """Delete the ids of a table (or a few given ones); ``document_id, deleted``. A batch in which nothing is found uses no
+        generation."""
         self._ready()
-        ids = self.spark.createDataFrame([(i,) for i in sorted(set(document_ids))], "document_id string")
+        if isinstance(document_ids, DataFrame):
+            ids = document_ids.select("document_id").distinct()
+        else:
+            ids = self.spark.createDataFrame([(i,) for i in sorted(set(document_ids))], "document_id string")
         found = ids.join(self.documents, "document_id", "left_semi")
         if found.isEmpty():
             return ids.withColumn("deleted", F.lit(False))
@@ -109,8 +145,8 @@ class SearchEngine:
         return hits.select("document_id", "score", "text", "rank").orderBy("rank"), scored.count()
 
     def _lexical(self, words: list[str]) -> DataFrame:
-        asked = bm25.query_terms(self.spark, {0: words})
-        return materialize(bm25.score(InvertedIndex(self.index.lookup(words), self.index.lengths), asked, self.bm25_params), "scored")
+        index = self.stored.lookup(words)
+        return materialize(bm25.score(index, bm25.query_terms(self.spark, {0: words}), self.bm25_params, self.stored.stats(index.postings)), "scored")
 
     def _query_vector(self, query: str | Sequence[float], identity: Identity | None) -> list[float]:
         if self.embedder is None:
@@ -154,7 +190,7 @@ class SearchEngine:
 
     def corpus_stats(self, words: Sequence[str]) -> DataFrame:
         self._ready()
-        return corpus_stats(self.index, words)
+        return corpus_stats(self.stored.lookup(words), words)
 
     def shard_stats(self) -> DataFrame:
         self._ready()
@@ -167,6 +203,20 @@ class SearchEngine:
     def status(self) -> dict[str, object]:
         return {"state": self.state, "ready": self.state == "ready", "detail": self.detail, "generation": getattr(self, "generation", 0), "semantic": self.embedder is not None}
 
+    def cluster_status(self, copies: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """What each shard's copies (``shard_id, copy_no, copy_role, node_state, endpoint``) can do, with its figures here, and
+        what all together can do."""
+        shards = shard_health(copies).join(self.shard_stats(), "shard_id", "left")
+        figures = self.cluster_stats().drop("shards")
+        return shards, cluster_health(copies).crossJoin(F.broadcast(figures))
+
+    def vector_ids(self) -> DataFrame:
+        """``document_id`` of every vector."""
+        self._ready()
+        if self.embedder is None:
+            raise SemanticDisabled("this engine has no embedder")
+        return self.vectors.select("document_id")
+
     def export(self) -> tuple[DataFrame, int]:
         """The corpus ordered by id, and its generation."""
         self._ready()

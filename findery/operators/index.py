@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from findery.functions.analysis import terms, tokens_col
 from findery.functions.formulas import average_length
@@ -27,29 +28,32 @@ BUCKETS = 256
 class InvertedIndex:
     postings: DataFrame
     lengths: DataFrame
+    #: How many buckets stored postings are in; 0 if they are not.
+    buckets: int = 0
 
-    def save(self, path: str) -> None:
+    def save(self, path: str, buckets: int = BUCKETS) -> None:
         """Write both tables; postings by bucket of the term and sorted within, so that scans prune and skip."""
-        bucketed = self.postings.withColumn("bucket", bucket(F.col("term")))
+        bucketed = self.postings.select(POSTINGS.names).withColumn("bucket", bucket(F.col("term"), buckets))
         bucketed.repartition("bucket", F.pmod(F.xxhash64("document_id"), F.lit(16))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
         self.lengths.write.parquet(f"{path}/lengths")
 
     @staticmethod
-    def load(spark: SparkSession, path: str) -> InvertedIndex:
-        postings = spark.read.parquet(f"{path}/postings")
-        return InvertedIndex(postings, spark.read.schema(LENGTHS).parquet(f"{path}/lengths"))
+    def load(spark: SparkSession, path: str, buckets: int = BUCKETS) -> InvertedIndex:
+        """An index that was saved with so many buckets."""
+        postings = spark.read.schema(T.StructType([*POSTINGS.fields, T.StructField("bucket", T.IntegerType())])).parquet(f"{path}/postings")
+        return InvertedIndex(postings, spark.read.schema(LENGTHS).parquet(f"{path}/lengths"), buckets)
 
     def lookup(self, words: Sequence[str]) -> DataFrame:
         """Postings of the given terms; unknown terms have none. On a stored index only their buckets are read."""
         chosen = self.postings.where(F.col("term").isin(*sorted(set(words)))) if words else self.postings.where(F.lit(False))
-        if "bucket" in self.postings.columns and words:
-            of = self.postings.sparkSession.createDataFrame([(w,) for w in sorted(set(words))], "term string").select(bucket(F.col("term"))).distinct().collect()
+        if self.buckets and words:
+            of = self.postings.sparkSession.createDataFrame([(w,) for w in sorted(set(words))], "term string").select(bucket(F.col("term"), self.buckets)).distinct().collect()
             chosen = chosen.where(F.col("bucket").isin(*(r[0] for r in of)))
         return chosen.select(POSTINGS.names)
 
 
-def bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+def bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 def analyzed(documents: DataFrame, key: str = "document_id", text: str = "text") -> DataFrame:
@@ -84,6 +88,11 @@ def counted_index(documents: DataFrame, key: str = "document_id", text: str = "t
 
     ``along`` is a string column of the documents that both tables are to have.
     """
+    return Matches(materialize(counted(documents, key, text, along), "counted")).index()
+
+
+def counted(documents: DataFrame, key: str = "document_id", text: str = "text", along: str | None = None) -> DataFrame:
+    """``document_id, dl, terms, tfs`` of every document, and the column ``along``."""
     given = documents.select(F.col(key).alias("document_id"), F.col(text).alias("text"), *([along] if along else []))
     shape, names = _COUNTED + f", `{along}` string" * bool(along), ["document_id", "dl", "terms", "tfs"] + [along] * bool(along)
 
@@ -101,7 +110,7 @@ def counted_index(documents: DataFrame, key: str = "document_id", text: str = "t
                 lists = (pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x) for x in (pa.array(words, pa.string()), pa.array(tfs, pa.int64())))
                 yield pa.record_batch([part.column(0), pa.array(lengths, pa.int64()), *lists, *part.columns[2:]], names)
 
-    return Matches(materialize(given.mapInArrow(count, shape), "counted")).index()
+    return given.mapInArrow(count, shape)
 
 
 _COUNTED = "document_id string, dl bigint, terms array<string>, tfs array<bigint>"

@@ -1,15 +1,18 @@
-"""The stored corpus: immutable snapshots and a pointer.
-
-A store is a folder with ``snapshot-<generation>-<id>`` folders of Parquet and a small manifest that names the current one
-with its generation and state. A change writes a new snapshot and then replaces the manifest by an atomic rename, so a
-failed change leaves the former corpus, and a reader that has opened a snapshot keeps a consistent one. What ``put`` and ``delete`` return reads the snapshot before the change, which stays until ``vacuum``.
+"""The stored corpus: immutable snapshots, layers of changes, and a pointer.
+
+A store is a folder with ``snapshot-<generation>-<id>`` and ``delta-<generation>-<id>`` folders of Parquet, and a small
+manifest that names the current snapshot and the deltas on it with its generation and state. A change writes a delta of the
+documents it touches and then replaces the manifest by an atomic rename, so what is written follows the change and not the
+corpus, a failed change leaves the former corpus, and a reader that has opened it keeps a consistent one. Readers merge the
+deltas (``layers``); now and then these are merged or become a new snapshot, which is sorted by id so that a lookup reads
+few row groups. What ``put`` and ``delete`` return reads the files before the change, which stay until ``vacuum``.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
-from dataclasses import asdict, dataclass, replace
+from dataclasses import asdict, dataclass, field, replace
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +20,7 @@ from pyspark.sql import functions as F
 
 from findery.errors import InvalidDocument, NotReady, StorageError
 from findery.schema import CORPUS
+from findery.sources.layers import merged, mergeable, newest, outgrown
 
 STATES = ("starting", "recovering", "ready", "degraded", "out_of_sync")
 
@@ -44,6 +48,13 @@ class Manifest:
     generation: int
     state: str = "ready"
     detail: str = "ready"
+    rows: int = 0
+    #: Names and numbers of rows, oldest first.
+    deltas: list[tuple[str, int]] = field(default_factory=list)
+
+    @property
+    def names(self) -> set[str]:
+        return {self.snapshot, *(name for name, _ in self.deltas)}
 
 
 class DocumentStore(Protocol):
@@ -54,6 +65,7 @@ class DocumentStore(Protocol):
     def count(self) -> int: ...
     def put(self, documents: DataFrame, generation: int) -> DataFrame: ...
     def delete(self, ids: DataFrame, generation: int) -> DataFrame: ...
+    def change(self, ids: DataFrame, left: DataFrame, generation: int) -> None: ...
     def replace_all(self, documents: DataFrame, generation: int) -> None: ...
     @property
     def generation(self) -> int: ...
@@ -87,7 +99,7 @@ class MemoryStore:
         new = documents.groupBy("document_id").agg(F.max("text").alias("text"))
         old = self.scan()
         result = new.select("document_id").join(old.select("document_id", F.lit(False).alias("created")), "document_id", "left").select("document_id", F.coalesce("created", F.lit(True)).alias("created"))
-        self._set(old.join(new, "document_id", "left_anti").unionByName(new), generation)
+        self._apply(new, generation)
         return result
 
     def delete(self, ids: DataFrame, generation: int) -> DataFrame:
@@ -95,13 +107,17 @@ class MemoryStore:
         old = self.scan()
         asked = ids.select("document_id").distinct()
         result = asked.join(old.select("document_id", F.lit(True).alias("deleted")), "document_id", "left").select("document_id", F.coalesce("deleted", F.lit(False)).alias("deleted"))
-        self._set(old.join(asked, "document_id", "left_anti"), generation)
+        self._apply(asked.withColumn("text", F.lit(None).cast("string")), generation)
         return result
 
     def change(self, ids: DataFrame, left: DataFrame, generation: int) -> None:
         """Replace all that ``ids`` had by ``left``, in one step."""
         require_valid(left)
-        self._set(self.scan().join(ids.select("document_id"), "document_id", "left_anti").unionByName(left.select("document_id", "text")), generation)
+        self._apply(ids.select("document_id").distinct().join(left.select("document_id", "text"), "document_id", "full_outer"), generation)
+
+    def _apply(self, changes: DataFrame, generation: int) -> None:
+        """``changes`` has a row an id, with a null text where the document goes."""
+        self._set(merged(self.scan(), [changes], 1 << 62, "text"), generation)
 
     def replace_all(self, documents: DataFrame, generation: int) -> None:
         require_valid(documents)
@@ -161,29 +177,54 @@ class SnapshotStore(MemoryStore):
         return self.manifest().generation
 
     def scan(self) -> DataFrame:
-        """The current snapshot; in no order."""
-        m = self.manifest()
-        return self.spark.read.schema(CORPUS).parquet(f"{self.folder}/{m.snapshot}") if m.snapshot else self.spark.createDataFrame([], CORPUS)
+        """The current corpus; in no order."""
+        return self._read(self.manifest())
+
+    def _table(self, name: str | None) -> DataFrame:
+        return self.spark.read.schema(CORPUS).parquet(f"{self.folder}/{name}") if name else self.spark.createDataFrame([], CORPUS)
+
+    def _read(self, m: Manifest) -> DataFrame:
+        return merged(self._table(m.snapshot), [self._table(name) for name, _ in m.deltas], sum(n for _, n in m.deltas), "text")
 
     def export(self) -> tuple[DataFrame, int]:
         """Documents ordered by id, and the generation, of one snapshot."""
         m = self.require_ready()
-        return self.scan().orderBy("document_id"), m.generation
+        return self._read(m).orderBy("document_id"), m.generation
 
     def _set(self, documents: DataFrame, generation: int) -> None:
+        m = self._before(generation)
+        name, rows = self._stored("snapshot", documents.repartitionByRange("document_id").sortWithinPartitions("document_id"), generation)
+        self._write(replace(m, snapshot=name, rows=rows, deltas=[], generation=generation))
+
+    def _before(self, generation: int) -> Manifest:
         m = self.manifest()
         if generation < m.generation:
             raise StorageError(f"generation {generation} is before {m.generation}")
-        name = f"snapshot-{generation}-{uuid.uuid4().hex}"
-        documents.write.parquet(f"{self.folder}/{name}")
-        self._write(replace(m, snapshot=name, generation=generation))
+        return m
+
+    def _stored(self, kind: str, documents: DataFrame, generation: int) -> tuple[str, int]:
+        """Name and number of rows of a new folder."""
+        name = f"{kind}-{generation}-{uuid.uuid4().hex}"
+        documents.select("document_id", "text").write.parquet(f"{self.folder}/{name}")
+        return name, self._table(name).count()  # from the footers
+
+    def _apply(self, changes: DataFrame, generation: int) -> None:
+        m = self._before(generation)
+        m = replace(m, deltas=[*m.deltas, self._stored("delta", changes, generation)], generation=generation)
+        self._write(m)
+        sizes = [n for _, n in m.deltas]
+        if outgrown(m.rows, sizes):
+            self._set(self._read(m), generation)
+        elif (at := mergeable(sizes)) < len(sizes):
+            one = self._stored("delta", newest([self._table(name) for name, _ in m.deltas[at:]]), generation)
+            self._write(replace(m, deltas=[*m.deltas[:at], one]))
 
     def vacuum(self) -> int:
-        """Delete snapshots that the manifest doesn't name; returns how many."""
-        current, gone = self.manifest().snapshot, 0
+        """Delete snapshots and deltas that the manifest doesn't name; returns how many."""
+        current, gone = self.manifest().names, 0
         for status in self._fs.listStatus(self._path(self.folder)):
             name = status.getPath().getName()
-            if name.startswith("snapshot-") and name != current:
+            if name.startswith(("snapshot-", "delta-")) and name not in current:
                 self._fs.delete(status.getPath(), True)
                 gone += 1
         return gone

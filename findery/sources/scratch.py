@@ -30,20 +30,26 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def temporary(spark: SparkSession, name: str) -> str:
+    """A path below the shared folder that ``release`` deletes, with whatever is written there."""
+    path = f"{shared_folder(spark)}/findery/{name}"
+    _written.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` below the shared folder and return the written table."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/findery/{name}-{uuid.uuid4().hex}"
+    path = temporary(spark, f"{name}-{uuid.uuid4().hex}")
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release() -> None:
-    """Delete every table written by ``materialize``. Call it only when no plan that reads them will run again."""
+    """Delete every ``temporary`` path and table. Call it only when no plan that reads them will run again."""
     while _written:
         spark, path = _written.pop()
         try:

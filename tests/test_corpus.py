@@ -1,5 +1,6 @@
 """Stores, formats, the mutation log, streaming, integrity, shards, the engine."""
 
+import os
 import random
 import sqlite3
 
@@ -11,12 +12,14 @@ from findery.errors import DocumentNotFound, IdentityMismatch, InvalidDocument,
 from findery.functions.embedding import Identity, TokenTableEmbedder, TopicEmbedder, synthetic_text
 from findery.functions.hashing import shard_for
 from findery.functions.vectors import dot, l2_normalized
-from findery.operators.index import InvertedIndex, build_index
+from findery.operators.index import InvertedIndex, build_index, totals
 from findery.operators.invariants import engine_violations, index_violations, vector_violations
 from findery.operators.mutations import changed_index, classify, compact, decide_sync, missing_generations, sync_state
 from findery.operators.running import running_max_before, running_totals
+from findery.operators.stored_index import StoredIndex
 from findery.operators.sharding import cluster_health, require_all_shards, require_topology, serving_copies, shard_health, topology_faults
 from findery.schema import MUTATIONS
+from findery.sources import layers
 from findery.sources.corpus import MemoryStore, SnapshotStore, blank, valid_documents
 from findery.sources.formats import SqliteCorpus, read_corpus
 from findery.streaming.mutations import apply_batch, apply_stream, outcomes, sequenced
@@ -63,11 +66,75 @@ def test_snapshots_are_immutable(spark, tmp_path):
     with pytest.raises(NotReady):
         store.export()
     again.mark("ready")
-    assert store.vacuum() == 1 and store.count() == 2
+    assert store.vacuum() == 0  # the change is a delta on the first snapshot
+    store.replace_all(store.scan(), 3)
+    assert store.vacuum() == 2 and store.count() == 2 and store.generation == 3
     with pytest.raises(ValueError):
         store.mark("odd")
 
 
+def written(folder, before=()):
+    """Bytes of the Parquet files that are not in ``before``, and all files."""
+    files = {str(p) for p in folder.rglob("*.parquet")}
+    return sum(os.path.getsize(f) for f in files - set(before)), files
+
+
+def test_a_change_writes_what_it_changes(spark, tmp_path):
+    docs = spark.range(4000).select(F.concat(F.lit("d"), "id").alias("document_id"), F.concat_ws(" ", F.lit("common"), F.md5(F.col("id").cast("string")), F.sha2(F.col("id").cast("string"), 512)).alias("text"))
+    store = SnapshotStore(spark, f"file://{tmp_path}/store")
+    store.replace_all(docs, 1)
+    whole, files = written(tmp_path)
+    store.put(spark.createDataFrame([("d7", "seven"), ("new", "common")], DOCS), 2)
+    few, files = written(tmp_path, files)
+    assert few < whole / 100 and store.count() == 4001 and store.get("d7") == "seven"
+    store.delete(spark.createDataFrame([("d7",), ("d8",)], "document_id string"), 3)
+    assert written(tmp_path, files)[0] < whole / 100 and store.count() == 3999 and store.get("d7") is None and store.get("d9")
+    assert len(store.manifest().deltas) == 2
+    for g in range(4, 20):  # deltas are merged before there are many
+        store.put(spark.createDataFrame([(f"d{g}", f"text {g}"), ("again", str(g))], DOCS), g)
+    assert len(store.manifest().deltas) <= layers.MOST_LAYERS and store.count() == 4002 and store.get("again") == "19" and store.get("d4") == "text 4" and store.get("d8") == "text 8"
+    store.put(docs.limit(1500), 20)  # enough for a new snapshot
+    assert store.manifest().deltas == [] and store.count() == 4002 and store.vacuum() > 10 and store.count() == 4002
+    plan = store.scan().where("document_id = 'd5'")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(document_id), EqualTo(document_id,d5)]" in plan
+
+
+def test_layers():
+    assert layers.mergeable([5] * layers.MOST_LAYERS) == layers.MOST_LAYERS
+    assert layers.mergeable([5] * (layers.MOST_LAYERS + 1)) == 0
+    falling = [9**i for i in range(layers.MOST_LAYERS, -2, -1) if i >= 0]
+    assert layers.mergeable(falling) == len(falling) and layers.mergeable([*falling, 1]) == len(falling) - 1
+    assert layers.outgrown(100_000, [15_000, 5001]) and not layers.outgrown(0, [900])
+
+
+def test_stored_index_equals_a_new_one(spark, monkeypatch):
+    rng = random.Random(8)
+    text = lambda: " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 6)))
+    now = {f"d{i}": text() for i in range(40)}
+    frame = lambda: spark.createDataFrame(list(now.items()), DOCS)
+    monkeypatch.setattr(layers, "MOST_LAYERS", 2)
+    index = StoredIndex.build(frame())
+    for turn in range(5):
+        if turn == 4:
+            monkeypatch.setattr(layers, "LEAST_ROWS", 3)
+        touched = {f"d{rng.randrange(50)}" for _ in range(3)}
+        for i in touched:
+            if rng.random() < 0.3:
+                now.pop(i, None)
+            else:
+                now[i] = text()
+        index = index.changed(spark.createDataFrame([(i,) for i in touched], "document_id string"), frame())
+        assert len(index.layers) <= 2
+    fresh = build_index(frame())
+    assert index.layers == () and pairs(index.index.postings) == pairs(fresh.postings) and pairs(index.lengths) == pairs(fresh.lengths)
+    index = index.changed(spark.createDataFrame([("d1",)], "document_id string"), spark.createDataFrame([("d1", "a a z")], DOCS))
+    now["d1"] = "a a z"
+    fresh, some = build_index(frame()), index.lookup(["a", "z", "q"])
+    assert pairs(some.postings) == pairs(fresh.postings.where("term in ('a', 'z')")) and index.totals == tuple(totals(fresh.lengths).first())
+    plan = some.postings._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
 def test_blank_ids(spark):
     ids = [None, "", " ", "\t\n\x1c", " 　", "a", " a "]
     rows = spark.createDataFrame([(i,) for i in ids], "document_id string")
@@ -268,9 +335,12 @@ def test_engine(spark, tmp_path):
     assert engine.search("cat")[1] == 0 and engine.search("bird")[1] == 1
     generation = engine.status()["generation"]
     assert pairs(engine.delete(["zzz"])) == [("zzz", False)] and engine.status()["generation"] == generation
-    assert pairs(engine.delete(["a", "zzz"])) == [("a", True), ("zzz", False)] and engine.status()["generation"] == generation + 1
+    assert pairs(engine.delete(spark.createDataFrame([("a",), ("zzz",)], "document_id string"))) == [("a", True), ("zzz", False)] and engine.status()["generation"] == generation + 1
     assert engine.violations().count() == 0 and engine.stats().first()["n"] == 2 and engine.cluster_stats().first()["n"] == 2
     assert {r["term"]: r["df"] for r in engine.corpus_stats(["dog", "x"]).collect()} == {"dog": 1, "x": 0}
+    assert pairs(engine.vector_ids()) == [("b",), ("c",)]
+    shards, whole = engine.cluster_status(spark.createDataFrame([(i, 0, "primary", "ready", "e") for i in range(3)], COPIES))
+    assert shards.count() == 3 and whole.first()["search_available"] and whole.first()["n"] == 2
     with pytest.raises(DocumentNotFound):
         engine.get("a")
     with pytest.raises(InvalidDocument):
