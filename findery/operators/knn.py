@@ -19,6 +19,12 @@ from findery.functions.vectors import dot, l2_normalized, well_formed
 QUERY_BLOCK = 1024
 
 
+def contains(vectors: DataFrame, ids: DataFrame) -> DataFrame:
+    """``document_id, embedded`` for every distinct id asked for."""
+    have = vectors.select("document_id", F.lit(True).alias("embedded")).distinct()
+    return ids.select("document_id").distinct().join(have, "document_id", "left").select("document_id", F.coalesce("embedded", F.lit(False)).alias("embedded"))
+
+
 def checked_query(vector: Sequence[float], dimension: int) -> list[float]:
     """The query vector, if it is one-dimensional, of the index's width and finite."""
     v = np.asarray(vector, np.float32)

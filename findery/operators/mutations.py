@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from findery.operators.index import InvertedIndex, build_index
 from findery.operators.running import HOT_ROWS, running_max_before
 from findery.sources.corpus import blank
+from findery.sources.scratch import materialize
 
+#: Tables with a row a shard go to every task up to this number.
+BROADCAST_SHARDS = 100_000
 APPLIED, DUPLICATE, GAP, REFUSED = "applied", "duplicate", "gap", "refused"
 
 
@@ -30,10 +33,10 @@ def readable(log: DataFrame) -> DataFrame:
     return known.where(F.col("shard_id").isNotNull() & F.col("generation").isNotNull() & F.col("op").isNotNull() & ~blank(F.col("document_id")) & put)
 
 
-def classify(log: DataFrame, arrival: list[Column], start: Column | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+def classify(log: DataFrame, arrival: list[Column], start: Column | None = None, stopped: Column | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``log`` with ``outcome``, as each row is met in order of ``arrival`` (which must tell the rows of a shard apart).
 
-    A shard begins at generation ``start`` (0). The next generation is applied, one up to the present is a duplicate, one
+    A shard begins at generation ``start`` (0), and may have ``stopped`` before (not). The next generation is applied, one up to the present is a duplicate, one
     beyond the next is a gap. From its first gap on a shard refuses to apply, though duplicates still succeed and what lies
     beyond is still a gap. Until the first gap the present generation is the largest met so far, so one running maximum
     classifies the whole log.
@@ -43,9 +46,11 @@ def classify(log: DataFrame, arrival: list[Column], start: Column | None = None,
     met = met.withColumn("_local", F.greatest(F.coalesce("before", begin), begin).cast("bigint"))
     # the first gap of a shard leaves it where it was then: all later maxima are larger
     stuck = met.where(F.col("generation") > F.col("_local") + 1).groupBy("shard_id").agg(F.min("_local").alias("_stuck"))
-    both = met.join(F.broadcast(stuck), "shard_id", "left")
-    g, stopped = F.col("generation"), F.col("_stuck").isNotNull() & (F.col("_local") > F.col("_stuck"))
-    local = F.when(stopped, F.col("_stuck")).otherwise(F.col("_local"))
+    stuck = materialize(stuck, "stuck-shards")
+    both = met.join(F.broadcast(stuck) if stuck.count() <= BROADCAST_SHARDS else stuck, "shard_id", "left")
+    already = F.lit(False) if stopped is None else stopped
+    g, stopped = F.col("generation"), already | (F.col("_stuck").isNotNull() & (F.col("_local") > F.col("_stuck")))
+    local = F.when(already, begin).when(stopped, F.col("_stuck")).otherwise(F.col("_local"))
     # all rows after the first gap have a larger maximum, since the gap's own generation is in it
     outcome = F.when(g <= local, DUPLICATE).when(g > local + 1, GAP).when(stopped, REFUSED).otherwise(APPLIED)
     return both.withColumn("outcome", outcome).drop("before", "_local", "_stuck")

@@ -49,6 +49,13 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
     return whole
 
 
+def scattered_topk(scored: DataFrame, limit: int, shards: int) -> DataFrame:
+    """The best ``limit`` of each query (``query_id, document_id, score``), by each shard's own best and then of all shards."""
+    own = Window.partitionBy("query_id", "shard_id").orderBy(F.desc("score"), "document_id")
+    parts = routed(scored, shards).withColumn("_own", F.row_number().over(own)).where(F.col("_own") <= limit)
+    return merged_topk(parts.drop("_own", "shard_id"), limit)
+
+
 def merged_totals(parts: DataFrame) -> DataFrame:
     """``query_id, total`` summed over shards."""
     return parts.groupBy("query_id").agg(F.sum("total").alias("total"))

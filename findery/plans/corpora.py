@@ -8,17 +8,23 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from findery.engine import SearchEngine
+from findery.functions.embedding import TopicEmbedder
 from findery.functions.hashing import shard_col
+from findery.operators import knn
 from findery.operators.index import InvertedIndex, build_index, counted_index
 from findery.operators.invariants import engine_violations, index_violations
-from findery.operators.mutations import changed_index, classify, compact, delete_outcomes, missing_generations, operation, readable, sync_state, touched, upsert_outcomes
+from findery.operators.mutations import changed_vectors, classify, compact, delete_outcomes, missing_generations, operation, readable, sync_state, touched, upsert_outcomes
+from findery.operators.stored_index import StoredIndex
 from findery.operators.sharding import cluster_health, routed, serving_copies, shard_health, topology_faults
 from findery.plans import duck
-from findery.sources.corpus import MemoryStore, SnapshotStore, blank, valid_documents
+from findery.plans.lexical import WORDS
+from findery.plans.retrieval import TOPICS
+from findery.sources.corpus import SnapshotStore, blank, valid_documents
 from findery.sources.formats import SqliteCorpus, read_corpus
-from findery.sources.scratch import materialize, shared_folder
+from findery.sources.scratch import materialize, temporary
 from findery.sources.tables import table
-from findery.streaming.mutations import sequenced
+from findery.streaming.mutations import classify_stream
 
 SHARDS = 8
 
@@ -77,7 +83,7 @@ def delete_results(spark, folder):
 
 
 def _store(spark, folder) -> SnapshotStore:
-    store = SnapshotStore(spark, f"{shared_folder(spark)}/findery/store-{uuid.uuid4().hex}")
+    store = SnapshotStore(spark, temporary(spark, f"store-{uuid.uuid4().hex}"))
     store.replace_all(valid_documents(table(spark, folder, "documents")), 1)
     return store
 
@@ -106,28 +112,19 @@ def apply_log(spark, folder):
 def incremental_postings(spark, folder):
     """Document frequencies after the log, from the index before it and the written documents alone."""
     before = valid_documents(table(spark, folder, "documents"))
-    store = MemoryStore(spark, before)
-    ids = materialize(touched(_log(spark, folder)), "touched")
-    store.change(ids, materialize(compact(_log(spark, folder)), "left"), 2)
-    index = changed_index(build_index(before), store.scan(), ids)
+    ids, left = materialize(touched(_log(spark, folder)), "touched"), materialize(compact(_log(spark, folder)), "left")
+    index = StoredIndex.build(before).changed(ids, left).index
     return index.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
 
 
 def stream_classification(spark, folder):
-    """The log as a stream through the stateful sequencer: rows by shard and outcome."""
+    """The log as a stream, classified by micro-batch: rows by shard and outcome."""
     name = uuid.uuid4().hex
-    base = f"{shared_folder(spark)}/findery/stream-{name}"
+    base = temporary(spark, f"stream-{name}")
     source = _log(spark, folder)
     log = spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").parquet(_directory(spark, folder))
-    query = (
-        sequenced(log.where(F.col("generation").isNotNull()))
-        .writeStream.foreachBatch(lambda batch, _: batch.write.mode("append").parquet(f"{base}/out"))
-        .option("checkpointLocation", f"{base}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return spark.read.parquet(f"{base}/out").groupBy("shard_id", "outcome").agg(F.count("*").alias("n"))
+    classify_stream(log, base, f"{base}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/outcomes").groupBy("shard_id", "outcome").agg(F.count("*").alias("n"))
 
 
 def _directory(spark, folder: str) -> str:
@@ -136,19 +133,19 @@ def _directory(spark, folder: str) -> str:
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if fs.getFileStatus(path).isDirectory():
         return f"{folder}/mutations.parquet"
-    copy = f"{shared_folder(spark)}/findery/log-{uuid.uuid4().hex}"
+    copy = temporary(spark, f"log-{uuid.uuid4().hex}")
     table(spark, folder, "mutations").write.parquet(copy)
     return copy
 
 
 def shard_routing(spark, folder):
-    """The owning shard of every document."""
-    return routed(table(spark, folder, "documents").select("document_id"), SHARDS)
+    """The owning shard of every document that the log writes."""
+    return routed(touched(_log(spark, folder)), SHARDS)
 
 
 def shard_sizes(spark, folder):
-    """Documents of every shard."""
-    return routed(table(spark, folder, "documents").select("document_id"), SHARDS).groupBy("shard_id").agg(F.count("*").alias("n"))
+    """Documents of every shard, of those that the log writes."""
+    return routed(touched(_log(spark, folder)), SHARDS).groupBy("shard_id").agg(F.count("*").alias("n"))
 
 
 def misrouted(spark, folder):
@@ -209,29 +206,72 @@ def engine_cross_checks(spark, folder):
 
 def sqlite_roundtrip(spark, folder):
     """The corpus written to SQLite files and read back."""
-    path = f"{shared_folder(spark).removeprefix('file://')}/findery/sqlite-{uuid.uuid4().hex}"
+    path = temporary(spark, f"sqlite-{uuid.uuid4().hex}")
     spark.dataSource.register(SqliteCorpus)
     valid_documents(table(spark, folder, "documents")).write.format("sqlite_corpus").option("path", path).mode("append").save()
     return read_corpus(spark, path, "sqlite")
 
 
 def format_roundtrips(spark, folder):
-    """The corpus written as CSV, JSON and ORC and read back: rows and characters of each."""
+    """The corpus written as CSV, JSON and ORC and read back: rows, characters and a sum of hashes of ids and texts of each."""
     documents = valid_documents(table(spark, folder, "documents"))
-    base = f"{shared_folder(spark)}/findery/formats-{uuid.uuid4().hex}"
-    documents.write.option("header", "true").option("escape", '"').option("quoteAll", "true").option("lineSep", "\n").csv(f"{base}/csv")
+    base = temporary(spark, f"formats-{uuid.uuid4().hex}")
+    digest = F.conv(F.substring(F.md5(F.concat_ws("|", "document_id", "text")), 1, 8), 16, 10).cast("bigint")
+    exact = {"header": "true", "escape": '"', "quoteAll": "true", "lineSep": "\n", "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    documents.write.options(**exact).csv(f"{base}/csv")
     documents.write.json(f"{base}/json")
     documents.write.orc(f"{base}/orc")
-    each = [read_corpus(spark, f"{base}/{f}", f).agg(F.lit(f).alias("format"), F.count("*").alias("n")) for f in ("csv", "json", "orc")]
+    each = [read_corpus(spark, f"{base}/{f}", f, **({"lineSep": "\n"} if f == "csv" else {})).agg(F.lit(f).alias("format"), F.count("*").alias("n"), F.sum(F.length("text")).alias("characters"), F.sum(digest).alias("digest")) for f in ("csv", "json", "orc")]
     return reduce(DataFrame.unionByName, each)
 
 
+def _engine(spark, folder) -> SearchEngine:
+    return SearchEngine(spark, _store(spark, folder), TopicEmbedder(TOPICS), shards=SHARDS)
+
+
+def engine_search(spark, folder):
+    """The ten best of one query by an engine on a stored corpus, after a change of one document and its return."""
+    engine = _engine(spark, folder)
+    documents = engine.documents
+    engine.upsert(documents.where(F.col("document_id") == "doc-7").withColumn("text", F.lit("failover failover failover")))
+    engine.upsert(documents.where(F.col("document_id") == "doc-7"))
+    hits, _ = engine.search(" ".join(WORDS))
+    return hits.select("document_id", F.round("score", 6).alias("score"), "rank", "text")
+
+
+def engine_semantic(spark, folder):
+    """The scores of the ten nearest documents by an engine with topics."""
+    hits, _ = _engine(spark, folder).semantic_search("replica search failover", 10)
+    return hits.select("rank", F.round("score", 5).alias("score"))
+
+
+def engine_violations_none(spark, folder):
+    """What integrity checks of an engine find after the log's changes; nothing."""
+    engine = _engine(spark, folder)
+    engine.upsert(compact(_log(spark, folder)).select("document_id", "text"))
+    return engine.violations()
+
+
+def vector_containment(spark, folder):
+    """Whether each document has a vector."""
+    return knn.contains(table(spark, folder, "doc_vectors").where(F.col("document_id").isNotNull()), table(spark, folder, "documents").select("document_id"))
+
+
+def vector_changes(spark, folder):
+    """Ids with a vector after the log: those it deletes have none, those it puts get one."""
+    log = _log(spark, folder)
+    before = table(spark, folder, "doc_vectors").where(F.col("document_id").isNotNull() & F.col("vector").isNotNull()).select("document_id", "vector")
+    fresh = TopicEmbedder(TOPICS).embed(compact(log))
+    return changed_vectors(before, fresh, touched(log)).select("document_id", F.size("vector").alias("width"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         full_scan, document_count, point_lookup, invalid_ids, compact_mutations, classify_generations, missing_stretches, upsert_results, delete_results, replace_all_snapshot, delete_documents, apply_log,
         incremental_postings, stream_classification, shard_routing, shard_sizes, misrouted, health_by_shard, health_of_cluster, answering_copies, faults_of_topology, synchronization,
         index_invariant_violations, index_is_sound, engine_cross_checks, sqlite_roundtrip, format_roundtrips,
+        engine_search, engine_semantic, engine_violations_none, vector_containment, vector_changes,
     )
 }
 
@@ -257,6 +297,7 @@ def sql() -> dict[str, str]:
         f"WITH {duck.index()}, bp AS (SELECT term, document_id, CASE WHEN term = 'tokenizer' THEN tf + 1 ELSE tf END AS tf, dl FROM p WHERE term <> 'failover'), bl AS (SELECT document_id, dl FROM t WHERE document_id <> 'doc-7'), "
         "sm AS (SELECT document_id, sum(tf) AS s FROM bp GROUP BY document_id)"
     )
+    topics = [f"len(list_filter(tokens, lambda x: x IN ({', '.join(repr(w) for w in t)})))::DOUBLE" for t in TOPICS]
     ready = "coalesce(node_state = 'ready' AND endpoint IS NOT NULL, false)"
     health = f"SELECT shard_id, count(*) AS copies, count(CASE WHEN {ready} THEN 1 END) AS ready_copies, bool_or({ready}) AS search_available, bool_or({ready} AND coalesce(copy_role = 'primary', false)) AS write_available FROM shard_copies GROUP BY shard_id"
     return {
@@ -279,8 +320,17 @@ def sql() -> dict[str, str]:
         "faults_of_topology": "SELECT 'copies' AS fault, shard_id FROM shard_copies GROUP BY shard_id HAVING count(*) <> (SELECT max(c) FROM (SELECT count(*) AS c FROM shard_copies GROUP BY shard_id)) UNION ALL SELECT 'primary', shard_id FROM shard_copies GROUP BY shard_id HAVING count(CASE WHEN copy_role = 'primary' THEN 1 END) <> 1 UNION ALL SELECT DISTINCT 'position', shard_id FROM shard_copies WHERE shard_id IS NULL OR shard_id < 0 OR shard_id >= (SELECT count(DISTINCT shard_id) FROM shard_copies)",
         "synchronization": "SELECT c.shard_id, c.generation AS local, m.remote, CASE WHEN m.remote IS NULL THEN 'recovering' WHEN c.generation = m.remote THEN 'ready' WHEN c.generation > m.remote THEN 'out_of_sync' ELSE 'recovering' END AS state FROM (SELECT DISTINCT shard_id, generation FROM corpus_stats) c LEFT JOIN (SELECT shard_id, max(generation) AS remote FROM mutations GROUP BY shard_id) m ON c.shard_id = m.shard_id",
         "index_invariant_violations": f"{damaged} SELECT DISTINCT 'unknown document' AS rule, document_id AS subject FROM bp WHERE document_id NOT IN (SELECT document_id FROM bl) UNION ALL SELECT 'length', bl.document_id FROM bl LEFT JOIN sm USING (document_id) WHERE bl.dl <> coalesce(s, 0)",
-        "index_is_sound": "SELECT '' AS rule, 0::BIGINT AS n WHERE false",
+        "index_is_sound": f"WITH {duck.index()}, sm AS (SELECT document_id, sum(tf) AS s, min(dl) AS least, max(dl) AS most FROM p GROUP BY document_id) SELECT rule, count(*) AS n FROM (SELECT 'unknown document' AS rule FROM sm WHERE document_id NOT IN (SELECT document_id FROM t) UNION ALL SELECT 'term frequency' FROM p WHERE tf < 1 UNION ALL SELECT 'length' FROM t LEFT JOIN sm USING (document_id) WHERE dl <> coalesce(s, 0) UNION ALL SELECT 'length of a posting' FROM t JOIN sm USING (document_id) WHERE least <> dl OR most <> dl UNION ALL SELECT 'document twice' FROM t GROUP BY document_id HAVING count(*) > 1 UNION ALL SELECT 'posting twice' FROM p GROUP BY term, document_id HAVING count(*) > 1) GROUP BY rule",
+        "engine_violations_none": f"WITH {log}, g AS ({good}), m AS ({left('document_id')}), a AS (SELECT g.document_id, coalesce(m.text, g.text) AS text FROM g LEFT JOIN m ON g.document_id = m.document_id AND m.op = 'put') SELECT 'document twice' AS rule, document_id AS subject FROM a GROUP BY document_id HAVING count(*) > 1",
+        "engine_search": f"WITH g AS ({good}), {duck.index('g')}, {duck.scored(duck.words(*WORDS))}, {duck.ranked('k', 'h')} SELECT document_id, round(score, 6) AS score, rank, text FROM k JOIN g USING (document_id) WHERE rank <= 10",
+        "engine_semantic": f"WITH g AS ({good}), {duck.analyzed(source='g')}, c AS (SELECT document_id, {topics[0]} AS a, {topics[1]} AS b, {topics[2]} AS c, {topics[3]} AS d FROM t), q AS (SELECT (a * 2 + b + 0.0625::DOUBLE) / (sqrt(a * a + b * b + c * c + d * d + 0.0625::DOUBLE) * sqrt(5.0625::DOUBLE)) AS s, document_id FROM c) SELECT row_number() OVER (ORDER BY s DESC)::INT AS rank, round(s, 5) AS score FROM q QUALIFY rank <= 10",
+        "vector_containment": "SELECT d.document_id, d.document_id IN (SELECT document_id FROM doc_vectors WHERE document_id IS NOT NULL) AS embedded FROM documents d",
+        "vector_changes": f"WITH {log}, m AS ({left('document_id')}) SELECT document_id, len(vector)::INT AS width FROM doc_vectors WHERE vector IS NOT NULL AND document_id IS NOT NULL AND document_id NOT IN (SELECT document_id FROM r) UNION ALL SELECT document_id, {len(TOPICS) + 1}::INT FROM m WHERE op = 'put'",
+        "stream_classification": f"WITH {met.replace('ORDER BY received_at, generation', 'ORDER BY generation').replace('received_at IS NOT NULL AND ', '')} SELECT shard_id, CASE WHEN generation <= l THEN 'duplicate' WHEN generation > l + 1 THEN 'gap' WHEN stopped THEN 'refused' ELSE 'applied' END AS outcome, count(*) AS n FROM y GROUP BY 1, 2",
+        "shard_routing": f"WITH {log}, o1 AS (SELECT document_id, mode(shard_id) AS shard_id FROM r GROUP BY document_id) SELECT document_id, shard_id FROM o1",
+        "shard_sizes": f"WITH {log} SELECT shard_id, count(DISTINCT document_id) AS n FROM r GROUP BY shard_id",
+        "misrouted": f"WITH {log}, o1 AS (SELECT document_id, mode(shard_id) AS owner FROM r GROUP BY document_id) SELECT DISTINCT r.shard_id, generation, r.document_id, owner FROM r JOIN o1 ON r.document_id = o1.document_id WHERE r.shard_id <> owner",
         "engine_cross_checks": f"{damaged} SELECT 'not indexed' AS rule, count(*) AS n FROM t WHERE document_id = 'doc-7' UNION ALL SELECT 'stale length', count(*) FROM t WHERE document_id = 'doc-7' UNION ALL SELECT 'stale posting', count(*) FROM p WHERE term IN ('failover', 'tokenizer')",
         "sqlite_roundtrip": good,
-        "format_roundtrips": f"SELECT f.format, count(*) AS n FROM ({good}) CROSS JOIN (SELECT unnest(['csv', 'json', 'orc']) AS format) f GROUP BY f.format",
+        "format_roundtrips": f"SELECT f.format, count(*) AS n, sum(length(text))::BIGINT AS characters, sum(('0x' || md5(document_id || '|' || text)[1:8])::BIGINT)::BIGINT AS digest FROM ({good}) CROSS JOIN (SELECT unnest(['csv', 'json', 'orc']) AS format) f GROUP BY f.format",
     }

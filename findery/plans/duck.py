@@ -43,15 +43,15 @@ def tokens(text: str) -> str:
     return f"regexp_extract_all(translate({expression}, {quoted(one)}, {quoted(to)}), '[\\p{{L}}\\p{{N}}]+')"
 
 
-def analyzed(name: str = "t") -> str:
+def analyzed(name: str = "t", source: str = "documents") -> str:
     """A common table expression ``name`` with ``document_id, tokens`` (never null) and ``dl`` of all documents."""
-    return f"{name} AS (SELECT document_id, coalesce({tokens('text')}, []) AS tokens, len(coalesce({tokens('text')}, [])) AS dl FROM documents)"
+    return f"{name} AS (SELECT document_id, coalesce({tokens('text')}, []) AS tokens, len(coalesce({tokens('text')}, [])) AS dl FROM {source})"
 
 
-def index() -> str:
+def index(source: str = "documents") -> str:
     """``t``, ``p`` (term, document_id, tf, dl), ``d`` (term, df) and ``s`` (n, total_len, avgdl)."""
     return (
-        f"{analyzed()}, x AS (SELECT document_id, dl, unnest(tokens) AS term FROM t), "
+        f"{analyzed(source=source)}, x AS (SELECT document_id, dl, unnest(tokens) AS term FROM t), "
         "p AS (SELECT term, document_id, count(*) AS tf, any_value(dl) AS dl FROM x GROUP BY term, document_id), "
         "d AS (SELECT term, count(*) AS df FROM p GROUP BY term), "
         "s AS (SELECT count(*) AS n, coalesce(sum(dl), 0)::BIGINT AS total_len, sum(dl) / count(*) AS avgdl FROM t)"

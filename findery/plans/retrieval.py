@@ -14,13 +14,15 @@ from findery.functions.vectors import norm, storable, well_formed
 from findery.operators import bm25, knn
 from findery.operators.evaluation import best_parameters, by_category, losses, per_query, summary
 from findery.operators.fusion import reciprocal_rank_fusion
+from findery.operators.index import counted_index, merge_stats
 from findery.operators.invariants import vector_violations
+from findery.operators.sharding import merged_topk, routed, scattered_topk
 from findery.plans import duck
 from findery.plans.lexical import labelled_topk
 from findery.sources.scratch import materialize
 from findery.sources.tables import table
 
-WIDTH, LIMIT, DECIMALS = 64, 10, 6
+WIDTH, LIMIT, DECIMALS, SHARDS = 64, 10, 6, 8
 TOPICS = (("replica", "shard", "failover"), ("query", "search", "index"), ("cache", "latency", "memory"), ("version", "release", "patch"))
 SWEEP = [(k, d) for k in (10, 30, 60) for d in (20, 40, 100)]
 VOCABULARY = ["search", "index", "query", "shard", "replica", "token", "cache", "merge", "vector", "score", "rank"]
@@ -112,6 +114,42 @@ def _fused(spark, folder, explain: bool = False) -> DataFrame:
     return reciprocal_rank_fusion(lexical, semantic, LIMIT, config, explain, 12)
 
 
+def shard_search_lexical(spark, folder):
+    """The ten best documents of every labelled query out of each shard's own best, scored with the figures of all shards."""
+    return _scattered_lexical(spark, folder, LIMIT).select("query_id", "document_id", F.round("score", 6).alias("score"), "rank")
+
+
+def _scattered_lexical(spark, folder, depth: int) -> DataFrame:
+    documents = routed(table(spark, folder, "documents").select("document_id", "text"), SHARDS).withColumn("part", F.col("shard_id").cast("string"))
+    index = counted_index(documents, along="part")
+    asked = materialize(bm25.query_table_terms(table(spark, folder, "labelled_queries")), "labelled-terms")
+    # first round: what each shard knows of the terms; second round: scores with the sums
+    n = index.lengths.groupBy("part").agg(F.count("*").alias("n"), F.sum("dl").alias("total_len"))
+    df = index.postings.join(asked.select("term").distinct(), "term", "left_semi").groupBy("part", "term").agg(F.count("*").alias("df"))
+    shared = merge_stats(n.join(df, "part", "left"))
+    scored = bm25.score(index, asked, stats=shared)
+    return scattered_topk(scored.withColumn("score", F.round("score", 9)), depth, SHARDS)
+
+
+def shard_search_semantic(spark, folder):
+    """The ten nearest documents of every labelled query out of each shard's own nearest."""
+    return _scattered_semantic(spark, folder, LIMIT).select("query_id", "document_id", "score", "rank")
+
+
+def _scattered_semantic(spark, folder, depth: int) -> DataFrame:
+    vectors, asked = materialize(routed(_vectors(spark, folder), SHARDS), "shard-vectors", ["shard_id"]), _query_vectors(spark, folder)
+    parts = [knn.batch_topk(vectors.where(F.col("shard_id") == s), asked, depth, WIDTH, DECIMALS).drop("rank") for s in range(SHARDS)]
+    return merged_topk(parts, depth)
+
+
+def shard_search_hybrid(spark, folder):
+    """The ten best of both searches over shards for every labelled query."""
+    config = RankFusion()
+    depth = config.depth(LIMIT)
+    fused = reciprocal_rank_fusion(_scattered_lexical(spark, folder, depth), _scattered_semantic(spark, folder, depth), LIMIT, config, decimals=12)
+    return fused.select("query_id", "document_id", F.round("score", 9).alias("score"), "rank", "total")
+
+
 def rrf_hybrid_topk(spark, folder):
     """The ten best of both searches for every labelled query."""
     return _fused(spark, folder).select("query_id", "document_id", F.round("score", 9).alias("score"), "rank", "total")
@@ -186,7 +224,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         vector_norms, vector_topk, vector_batch_topk, embeddings_batch_topk, semantic_totals, vector_invariant_violations, topic_embedding, token_table_embedding, fingerprints, synthetic_texts,
-        rrf_hybrid_topk, rrf_hybrid_explain, hybrid_candidate_union_total, recall_at_k, mrr_summary, mrr_by_category, hybrid_losses, rrf_parameter_sweep, rrf_best_parameters,
+        shard_search_lexical, shard_search_semantic, shard_search_hybrid, rrf_hybrid_topk, rrf_hybrid_explain, hybrid_candidate_union_total, recall_at_k, mrr_summary, mrr_by_category, hybrid_losses, rrf_parameter_sweep, rrf_best_parameters,
     )
 }
 
@@ -225,6 +263,9 @@ def sql() -> dict[str, str]:
         "token_table_embedding": f"WITH {duck.analyzed()}, c AS (SELECT document_id, CASE WHEN dl > 0 THEN list_sum(list_transform(tokens, lambda x: length(x)))::DOUBLE / dl ELSE 0 END AS a, CASE WHEN dl > 0 THEN 1.0 ELSE 0 END AS b FROM t) SELECT document_id, round(CASE WHEN b = 0 THEN 0.0 ELSE (a / sqrt(a * a + b * b))::FLOAT::DOUBLE END, 5) AS v0, round(CASE WHEN b = 0 THEN 0.0 ELSE (b / sqrt(a * a + b * b))::FLOAT::DOUBLE END, 5) AS v1 FROM c",
         "fingerprints": "SELECT vec_id, 'static:lumen-64@r3/d' || len(vector) || '/l2' AS expected, ('static:lumen-64@r3/d' || len(vector) || '/l2') = fingerprint AS same FROM doc_vectors WHERE vector IS NOT NULL",
         "synthetic_texts": f"SELECT doc_id, array_to_string(list_transform(range(40), lambda i: {VOCABULARY!r}[((doc_id * 7 + i) % {len(VOCABULARY)})::INT + 1]), ' ') AS text FROM documents",
+        "shard_search_lexical": f"{lists} SELECT query_id, document_id, round(score, 6) AS score, rank FROM l WHERE rank <= 10",
+        "shard_search_semantic": f"WITH {near} SELECT query_id, document_id, score, rank FROM n WHERE rank <= 10",
+        "shard_search_hybrid": f"{lists}, {fused()} SELECT query_id, document_id, round(score, 9) AS score, rank, total FROM f WHERE rank <= 10",
         "rrf_hybrid_topk": f"{lists}, {fused()} SELECT query_id, document_id, round(score, 9) AS score, rank, total FROM f WHERE rank <= 10",
         "rrf_hybrid_explain": f"{lists}, {fused()} SELECT query_id, document_id, rank, lexical_rank, semantic_rank, round(lexical_score, 6) AS lexical_score, round(semantic_score, 6) AS semantic_score FROM f WHERE rank <= 10",
         "hybrid_candidate_union_total": f"{lists}, {fused()} SELECT DISTINCT query_id, total FROM f",

@@ -1,24 +1,31 @@
 """The mutation log as a stream: sequencing with state, and applying to a store.
 
-``sequenced`` keeps a shard's generation and whether it has stopped, and classifies every row as the batch operator does.
-``apply_stream`` applies micro-batches to stores: it is idempotent, as a repeated micro-batch is all duplicates.
+``classify_stream`` classifies every micro-batch with the batch operator, from the state that the one before left; a shard
+that holds most of a micro-batch is spread over tasks, and a repeated micro-batch replaces what it wrote. ``sequenced`` does
+the same as a stateful operator, on what decides alone (no texts), whose shards must fit a worker. ``apply_stream`` applies
+micro-batches to stores: it is idempotent, as a repeated micro-batch is all duplicates.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.readwriter import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from findery.operators.mutations import APPLIED, DUPLICATE, GAP, REFUSED, compact, readable, touched
+from findery.operators.mutations import APPLIED, BROADCAST_SHARDS, DUPLICATE, GAP, REFUSED, classify, compact, readable, touched
 from findery.operators.running import running_max_before
 from findery.sources.corpus import MemoryStore
 
-_OUT = "shard_id int, generation bigint, op string, document_id string, text string, outcome string"
+#: Shards that are applied at the same time.
+AT_ONCE = 8
+_OUT = "shard_id int, generation bigint, op string, document_id string, outcome string"
+_STATE = "local bigint, stopped boolean"
 
 
 def outcomes(local: int, stopped: bool, generations: list[int]) -> tuple[list[str], int, bool]:
@@ -39,7 +46,8 @@ def outcomes(local: int, stopped: bool, generations: list[int]) -> tuple[list[st
 
 
 def sequenced(log: DataFrame) -> DataFrame:
-    """A streaming log with ``outcome``. Rows of a shard in one micro-batch are taken in order of generation.
+    """``shard_id, generation, op, document_id, outcome`` of a streaming log. Rows of a shard in one micro-batch are taken in
+    order of generation.
 
     Rows without a shard or generation are left out.
     """
@@ -50,10 +58,34 @@ def sequenced(log: DataFrame) -> DataFrame:
         rows = pd.concat(list(frames), ignore_index=True).sort_values("generation", kind="stable")
         rows["outcome"], local, stopped = outcomes(int(local), bool(stopped), rows["generation"].tolist())
         state.update((local, stopped))
-        yield rows[["shard_id", "generation", "op", "document_id", "text", "outcome"]]
+        yield rows[["shard_id", "generation", "op", "document_id", "outcome"]]
 
-    given = log.where(F.col("shard_id").isNotNull() & F.col("generation").isNotNull()).select("shard_id", "generation", "op", "document_id", "text")
-    return given.groupBy("shard_id").applyInPandasWithState(step, _OUT, "local bigint, stopped boolean", "append", GroupStateTimeout.NoTimeout)
+    given = log.where(F.col("shard_id").isNotNull() & F.col("generation").isNotNull()).select("shard_id", "generation", "op", "document_id")
+    return given.groupBy("shard_id").applyInPandasWithState(step, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def classify_stream(log: DataFrame, folder: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Start classifying a streaming log. ``<folder>/outcomes`` gets its rows with ``outcome`` by ``batch``, and
+    ``<folder>/state`` each shard's generation after the batch and whether it has stopped.
+
+    Rows of a micro-batch are taken in order of generation; rows without a shard or generation are left out.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        schema = f"shard_id {dict(batch.dtypes)['shard_id']}, {_STATE}"
+        before = spark.read.schema(schema).parquet(f"{folder}/state/batch={number - 1}") if number else spark.createDataFrame([], schema)
+        side = F.broadcast(before) if before.count() <= BROADCAST_SHARDS else before
+        met = batch.where(F.col("shard_id").isNotNull() & F.col("generation").isNotNull()).join(side, "shard_id", "left")
+        known = classify(met, [F.col(c) for c in ("generation", "op", "document_id", "text")], F.coalesce("local", F.lit(0)), F.coalesce("stopped", F.lit(False)))
+        path = f"{folder}/outcomes/batch={number}"
+        known.drop("local", "stopped").write.mode("overwrite").parquet(path)
+        after = spark.read.parquet(path).groupBy("shard_id").agg(F.max(F.when(F.col("outcome") == APPLIED, F.col("generation"))).alias("last"), F.bool_or(F.col("outcome") == GAP).alias("gap"))
+        both = before.join(after, "shard_id", "full_outer")
+        state = both.select("shard_id", F.greatest("local", "last", F.lit(0)).alias("local"), (F.coalesce("stopped", F.lit(False)) | F.coalesce("gap", F.lit(False))).alias("stopped"))
+        state.write.mode("overwrite").parquet(f"{folder}/state/batch={number}")
+
+    return _started(log.writeStream.foreachBatch(each), checkpoint, available_now)
 
 
 def apply_batch(store: MemoryStore, batch: DataFrame) -> int:
@@ -80,10 +112,15 @@ def apply_stream(log: DataFrame, stores: Callable[[int], MemoryStore], checkpoin
     def each(batch: DataFrame, _: int) -> None:
         batch.persist()
         try:
-            for row in batch.select("shard_id").where(F.col("shard_id").isNotNull()).distinct().collect():  # a row a shard
-                apply_batch(stores(row[0]), batch.where(F.col("shard_id") == row[0]))
+            shards = [r[0] for r in batch.select("shard_id").where(F.col("shard_id").isNotNull()).distinct().collect()]  # a row a shard
+            with ThreadPoolExecutor(AT_ONCE) as pool:
+                list(pool.map(lambda s: apply_batch(stores(s), batch.where(F.col("shard_id") == s)), shards))
         finally:
             batch.unpersist()
 
-    writer = log.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    return _started(log.writeStream.foreachBatch(each), checkpoint, available_now)
+
+
+def _started(writer: DataStreamWriter, checkpoint: str, available_now: bool) -> StreamingQuery:
+    writer = writer.option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
