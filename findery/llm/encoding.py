@@ -3,8 +3,8 @@
 Method: a multinomial classifier on hashed byte bigrams. Its unit is a run: a maximal stretch of characters beyond ASCII
 with one neighbour on either side. Training takes the runs of about SAMPLE_ROWS records (chosen by a hash of the key),
 garbles them by every chain of CHAINS, and counts the bigrams of their UTF-8 bytes per chain and for the runs as they are
-('clean'). As a few of the sampled texts are garbled themselves, the runs found garbled are left out and the counts made
-again. A run is predicted the likeliest chain that can be inverted: for chains from UTF-8 the bytes must hold well-formed
+('clean'), where the records are; only the counts come to the driver. As a few of the sampled texts are garbled themselves,
+the runs found garbled are left out and the counts made again. A run is predicted the likeliest chain that can be inverted: for chains from UTF-8 the bytes must hold well-formed
 sequences of several bytes, for others they must decode strictly, and what comes out must be likelier clean text than what
 went in, both in lower case. U+FFFD is what a failed decoding leaves; a run that holds it is garbled and is not restored.
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from findery.sources.scratch import materialize
 
-#: About so many records (never twice as many), none of more characters, are sampled for training.
+#: About so many records, none of more characters, are sampled for training.
 SAMPLE_ROWS, SAMPLE_CHARACTERS = 5000, 100_000
 BUCKETS = 1 << 14
 #: Log odds against 'clean' that a run must reach, for chains from UTF-8 and for others.
@@ -259,11 +259,19 @@ class Model:
 
 
 def _fit(runs: list[str]) -> Model:
+    return _model(_class_counts(runs), frozenset("\n".join(runs)))
+
+
+def _class_counts(runs: list[str]) -> np.ndarray:
+    """Bigrams by bucket, of the runs as they are and after each chain."""
     joined = "\n".join(runs)
-    counts = np.stack([_counts(runs), *(_counts(_RUN.findall(garble(joined, c))) for c in CHAINS)])
+    return np.stack([_counts(runs), *(_counts(_RUN.findall(garble(joined, c))) for c in CHAINS)])
+
+
+def _model(counts: np.ndarray, characters: frozenset[str]) -> Model:
     shares = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
     logs = np.log((1 - UNSEEN) * shares + UNSEEN / BUCKETS)
-    return Model(logs[1:] - logs[0], logs[0], frozenset(joined))
+    return Model(logs[1:] - logs[0], logs[0], characters)
 
 
 def _counts(runs: list[str]) -> np.ndarray:
@@ -276,8 +284,13 @@ def in_text(text: str, verdicts: dict[str, Verdict | None]) -> dict[str, Verdict
     evidence = Counter()
     for r, v in found.items():
         if not v.alone:
-            evidence[v.chain] += len({c for c in r if c > "\x7f"}) // LONG
-    return {r: v for r, v in found.items() if v.alone or evidence[v.chain] >= LONG_RUNS}
+            evidence[_source(v)] += len({c for c in r if c > "\x7f"}) // LONG
+    return {r: v for r, v in found.items() if v.alone or evidence[_source(v)] >= LONG_RUNS}
+
+
+def _source(verdict: Verdict) -> str:
+    """What the text was encoded as: pages it may have been taken for agree in most letters, so their evidence adds up."""
+    return verdict.chain.partition(">")[0]
 
 
 def train(texts: list[str], rounds: int = 3) -> Model:
@@ -292,6 +305,36 @@ def train(texts: list[str], rounds: int = 3) -> Model:
     return model
 
 
+def train_table(sample: DataFrame, text: str = "text", rounds: int = 3) -> Model:
+    """The classifier, of a table of sampled texts: ``train`` with the counting done where the texts are. What comes to the
+    driver is a number for each class and bucket, and the characters."""
+    spark, model = sample.sparkSession, None
+    for _ in range(rounds):
+        sent = spark.sparkContext.broadcast(model)
+
+        def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            counts, characters = np.zeros((len(CHAINS) + 1, BUCKETS)), set()
+            for b in batches:
+                kept: list[str] = []
+                for t in b.column(0).to_pylist():
+                    runs = _RUN.findall(t)
+                    bad = in_text(t, {r: sent.value.judge(r) for r in set(runs)}) if sent.value else {}
+                    kept += [r for r in runs if r not in bad]
+                counts += _class_counts(kept)
+                characters.update(*kept)
+            of, at = np.nonzero(counts)
+            letters = np.array(sorted(map(ord, characters)), np.int64)
+            columns = (np.concatenate([of, np.full(len(letters), -1)]), np.concatenate([at, letters]), np.concatenate([counts[of, at].astype(np.int64), np.ones(len(letters), np.int64)]))
+            yield pa.record_batch([pa.array(c.astype(np.int64)) for c in columns], ["of", "at", "n"])
+
+        rows = sample.select(text).mapInArrow(count, "of bigint, at bigint, n bigint").groupBy("of", "at").agg(F.sum("n").alias("n")).toArrow()
+        of, at, n = (rows[c].to_numpy() for c in ("of", "at", "n"))
+        counts, letter = np.zeros((len(CHAINS) + 1, BUCKETS)), of < 0
+        counts[of[~letter], at[~letter]] = n[~letter]
+        model = _model(counts, frozenset(map(chr, at[letter].tolist())))
+    return model
+
+
 def wrongly_decoded(records: DataFrame, key: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``<key>, chain, runs, restored, complete`` of every text with a garbled run.
 
@@ -301,10 +344,9 @@ def wrongly_decoded(records: DataFrame, key: str = "doc_id", text: str = "text",
     spark = records.sparkSession
     given = records.select(F.col(key), F.col(text)).where(F.col(text).rlike(r"[^\x00-\x7F]"))
     kind = dict(given.dtypes)[key]
-    # about sample_rows of all records, by their keys' hashes; a top-k would send as many from every partition
+    # about sample_rows of all records, by their keys' hashes
     sampled = F.pmod(F.xxhash64(key), F.lit(max(1, records.count() // sample_rows))) == 0
-    sample = given.where(sampled & (F.length(text) <= SAMPLE_CHARACTERS)).select(text).limit(2 * sample_rows).collect()
-    trained = train(sorted(r[0] for r in sample))
+    trained = train_table(materialize(given.where(sampled & (F.length(text) <= SAMPLE_CHARACTERS)).select(text), "encoding-sample"), text)
     first = spark.sparkContext.broadcast(replace(trained, attested=None))
 
     def invertible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

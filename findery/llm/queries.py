@@ -70,7 +70,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """The pieces of every document that is too long."""
-    return pieces(cut_texts(table(spark, folder, "documents"), keep_text=True))
+    return pieces(table(spark, folder, "documents"))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:

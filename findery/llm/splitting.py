@@ -107,14 +107,19 @@ class Offsets:
         return int(self.word_starts[k]) if k < len(self.word_starts) and self.word_starts[k] < end else end
 
 
-def cut_texts(records: DataFrame, key: str = "doc_id", text: str = "text", limit: int = 2000, overlap: int = 100, keep_text: bool = False) -> DataFrame:
-    """``<key>, boundary, cuts`` (and the text, if kept) of every text longer than ``limit``; one row a text.
+def _long(records: DataFrame, key: str, text: str, limit: int, overlap: int) -> DataFrame:
+    """Key and text of the texts that are too long."""
+    if limit < 1 or not 0 <= overlap < limit:
+        raise ValueError("there must be a limit, and the overlap must be less")
+    return records.select(F.col(key), F.col(text)).where(F.length(text) > limit)
+
+
+def cut_texts(records: DataFrame, key: str = "doc_id", text: str = "text", limit: int = 2000, overlap: int = 100) -> DataFrame:
+    """``<key>, boundary, cuts`` of every text longer than ``limit``; one row a text.
 
     ``cuts`` is an array of ``start, end, kind``. Pieces are at most ``limit`` long, with their overlap.
     """
-    if limit < 1 or not 0 <= overlap < limit:
-        raise ValueError("there must be a limit, and the overlap must be less")
-    given = records.select(F.col(key), F.col(text)).where(F.length(text) > limit)
+    given = _long(records, key, text, limit, overlap)
     kind = dict(given.dtypes)[key]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,13 +130,27 @@ def cut_texts(records: DataFrame, key: str = "doc_id", text: str = "text", limit
                 offsets = Offsets(t)
                 boundaries.append(offsets.boundary(limit))
                 cuts.append([{"start": s, "end": e, "kind": k} for s, e, k in offsets.cuts(limit, overlap)])
-            columns = [b.column(0), pa.array(boundaries, pa.string()), pa.array(cuts, piece)]
-            yield pa.record_batch(columns + [b.column(1)] * keep_text, [key, "boundary", "cuts"] + [text] * keep_text)
+            yield pa.record_batch([b.column(0), pa.array(boundaries, pa.string()), pa.array(cuts, piece)], [key, "boundary", "cuts"])
 
-    return given.mapInArrow(cut, f"`{key}` {kind}, boundary string, cuts array<struct<start: int, end: int, kind: string>>" + f", `{text}` string" * keep_text)
+    return given.mapInArrow(cut, f"`{key}` {kind}, boundary string, cuts array<struct<start: int, end: int, kind: string>>")
 
 
-def pieces(cut: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``<key>, piece, start, end, kind, text``: one row a piece, numbered from 0."""
-    each = cut.select(key, F.col(text).alias("_text"), F.posexplode("cuts").alias("piece", "c"))
-    return each.select(key, "piece", F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.col("c.kind").alias("kind"), F.substring("_text", F.col("c.start") + 1, F.col("c.end") - F.col("c.start")).alias(text))
+def pieces(records: DataFrame, key: str = "doc_id", text: str = "text", limit: int = 2000, overlap: int = 100) -> DataFrame:
+    """``<key>, piece, start, end, kind, text``: one row a piece of every text longer than ``limit``, numbered from 0.
+
+    Pieces are taken from their text where it is cut, so a text is gone through once and never repeated.
+    """
+    given = _long(records, key, text, limit, overlap)
+    kind = dict(given.dtypes)[key]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, t in enumerate(b.column(1).to_pylist()):
+                cuts = list(Offsets(t).cuts(limit, overlap))
+                if cuts:
+                    starts, ends, kinds = zip(*cuts)
+                    numbers = (pa.array(x, pa.int32()) for x in (range(len(cuts)), starts, ends))
+                    own = b.column(0).slice(i, 1).take(pa.array([0] * len(cuts)))
+                    yield pa.record_batch([own, *numbers, pa.array(kinds), pa.array([t[s:e] for s, e in zip(starts, ends)])], [key, "piece", "start", "end", "kind", text])
+
+    return given.mapInArrow(cut, f"`{key}` {kind}, piece int, start int, end int, kind string, `{text}` string")

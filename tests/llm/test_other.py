@@ -333,6 +333,24 @@ def test_held_out_accuracy(model):
     assert changed > 300 and right / changed > 0.97 and restored / changed > 0.75
 
 
+def test_training_where_the_texts_are(spark):
+    texts = [*texts_of(5, 150), garble(CLEAN[1], CHAINS[0])]
+    there = encoding.train_table(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1))
+    here = train(texts)
+    assert np.allclose(there.odds, here.odds) and np.allclose(there.clean, here.clean) and there.attested - {"\n"} == here.attested - {"\n"}
+    spread = encoding.train_table(spark.createDataFrame([(t,) for t in texts], "text string").repartition(4))
+    assert np.abs(spread.clean - here.clean).mean() < 0.05  # pairs across the ends of runs depend on their order
+    assert np.isfinite(encoding.train_table(spark.createDataFrame([], "text string")).odds).all()
+
+
+def test_evidence_of_one_source_adds_up():
+    verdict = lambda chain: encoding.Verdict(chain, "", True, False)
+    text = "xабвгx yдежзy"
+    one, two = encoding._RUN.findall(text)
+    assert set(in_text(text, {one: verdict("cp1251>latin-1"), two: verdict("cp1251>cp1252")})) == {one, two}
+    assert in_text(text, {one: verdict("cp1251>latin-1"), two: verdict("koi8-r>cp1252")}) == {}
+
+
 def test_code_pages_and_lost_text(model):
     russian, chinese, german = CLEAN[4], CLEAN[6], CLEAN[0]
     for t, chain in ((russian, (("koi8-r", "cp1251"),)), (russian, (("cp1251", "latin-1"),)), (chinese, (("gbk", "latin-1"),)), (german, (("cp1252", "utf-8"),))):

@@ -344,11 +344,13 @@ def test_cuts_prefer_coarse_ends_and_overlap():
 
 def test_cut_tables(spark):
     texts = [None, "", "short", "word " * 900, "word " * 900, "x" * 250_000, "𝔘" * 2001, " " * 3000]
-    cut = cut_texts(table(spark, texts), keep_text=True)
+    cut = cut_texts(table(spark, texts))
     assert rows(cut.select("doc_id", "boundary", F.size("cuts"))) == [(3, "word", 3), (4, "word", 3), (5, "hard", 132), (6, "hard", 2), (7, "paragraph", 0)]
-    for r in pieces(cut).collect():
+    every = pieces(table(spark, texts)).collect()
+    assert [(r["doc_id"], r["piece"]) for r in every] == [(i, n) for i, size in ((3, 3), (4, 3), (5, 132), (6, 2)) for n in range(size)]
+    for r in every:
         assert r["text"] == texts[r["doc_id"]][r["start"] : r["end"]] and len(r["text"]) <= 2000
-    assert cut_texts(table(spark, [])).count() == 0
+    assert cut_texts(table(spark, [])).count() == 0 and pieces(table(spark, [])).count() == 0
     with pytest.raises(ValueError):
         cut_texts(table(spark, []), limit=10, overlap=10)
 
