@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findery.errors import IdentityMismatch
@@ -92,6 +92,19 @@ class TokenTableEmbedder:
         return documents.select(key).join(found, key, "left").select(key, l2_normalized(F.coalesce("mean", zero)).alias("vector"))
 
 
+def table_embedder(spark: SparkSession, folder: str, model: str, revision: str) -> TokenTableEmbedder:
+    """The embedder of a stored token table ``<folder>/<model>/<revision>`` (Parquet, ``token, vector``).
+
+    The revision is part of the path and of the fingerprint, so vectors of another one are told apart. A folder that is not
+    there, an empty table, or vectors of different widths are refused.
+    """
+    vectors = spark.read.parquet(f"{folder.rstrip('/')}/{model}/{revision}").select("token", F.col("vector").cast("array<double>").alias("vector"))
+    least, most = vectors.agg(F.min(F.size("vector")), F.max(F.size("vector"))).first()
+    if least is None or least != most or least < 1:
+        raise ValueError(f"the token vectors of {model} {revision} must have one width")
+    return TokenTableEmbedder(vectors, Identity("table", model, revision, most))
+
+
 def synthetic_text(seed: Column, vocabulary: list[str], words: int = 40) -> Column:
     """Benchmark text: word i is number ``seed * 7 + i`` of the vocabulary, round and round."""
     table = F.array(*map(F.lit, vocabulary))

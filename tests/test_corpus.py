@@ -1,17 +1,22 @@
 """Stores, formats, the mutation log, streaming, integrity, shards, the engine."""
 
+import json
+import logging
 import os
 import random
 import sqlite3
+import sys
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from findery.engine import SearchEngine
 from findery.errors import DocumentNotFound, IdentityMismatch, InvalidDocument, InvalidTopology, NotReady, SemanticDisabled, ShardFailed, StorageError
-from findery.functions.embedding import Identity, TokenTableEmbedder, TopicEmbedder, synthetic_text
+from findery.functions.embedding import Identity, TokenTableEmbedder, table_embedder, TopicEmbedder, synthetic_text
 from findery.functions.hashing import shard_for
 from findery.functions.vectors import dot, l2_normalized
+from findery.operations import JsonLines, parsed_topology
 from findery.operators.index import InvertedIndex, build_index, totals
 from findery.operators.invariants import engine_violations, index_violations, vector_violations
 from findery.operators.mutations import changed_index, classify, compact, decide_sync, missing_generations, sync_state
@@ -22,7 +27,7 @@ from findery.schema import MUTATIONS
 from findery.sources import layers
 from findery.sources.corpus import MemoryStore, SnapshotStore, blank, valid_documents
 from findery.sources.formats import SqliteCorpus, read_corpus
-from findery.streaming.mutations import apply_batch, apply_stream, outcomes, sequenced
+from findery.streaming.mutations import apply_batch, apply_stream, classify_stream, outcomes, sequenced
 
 DOCS = "document_id string, text string"
 
@@ -239,6 +244,21 @@ def test_stream_sequencer(spark, tmp_path):
     assert pairs(spark.sql("SELECT shard_id, generation, outcome FROM sequenced")) == [(0, 1, "applied"), (0, 2, "applied"), (0, 3, "applied"), (1, 1, "applied")]
 
 
+def test_stream_classified_by_batch(spark, tmp_path):
+    """Two micro-batches equal the state machine; a repeated one replaces what it wrote."""
+    batches = [[(0, g, "put", f"d{g}", "t") for g in (2, 1, 2, 3)] + [(1, 2, "put", "x", "t"), (1, 1, "put", "y", "t"), (2, 2, "put", "z", "t")], [(0, 5, "put", "a", "t"), (0, 4, "delete", "b", None), (1, 4, "put", "c", "t"), (1, 5, "put", "c", "t"), (2, 1, "put", "q", "t"), (None, 1, "put", "q", "t")]]
+    want, state = [], {}
+    for rows in batches:
+        for shard in {r[0] for r in rows} - {None}:
+            generations = sorted(r[1] for r in rows if r[0] == shard)
+            found, *state[shard] = outcomes(*state.get(shard, (0, False)), generations)
+            want += [(shard, g, o) for g, o in zip(generations, found)]
+    log = stream_of(spark, f"file://{tmp_path}/log", batches)
+    classify_stream(log, f"file://{tmp_path}/out", f"file://{tmp_path}/c").awaitTermination()
+    assert pairs(spark.read.parquet(f"file://{tmp_path}/out/outcomes").select("shard_id", "generation", "outcome")) == sorted(want, key=repr)
+    assert pairs(spark.read.parquet(f"file://{tmp_path}/out/state").where("batch = 1").drop("batch")) == sorted(((s, *x) for s, x in state.items()), key=repr)
+
+
 def test_stream_applies_to_stores(spark, tmp_path):
     stores = {i: MemoryStore(spark) for i in range(2)}
     log = stream_of(spark, f"file://{tmp_path}/log", [[r for r in LOG if r[0] is not None and r[1] is not None]])
@@ -318,6 +338,39 @@ def test_embedders(spark):
     assert v.select(dot(F.col("v"), F.col("v"))).first()[0] == 25.0
 
 
+def test_stored_embedder(spark, tmp_path):
+    spark.createDataFrame([("cat", [1.0, 0.0]), ("dog", [0.0, 1.0])], "token string, vector array<float>").write.parquet(f"file://{tmp_path}/models/pets/r2")
+    model = table_embedder(spark, f"file://{tmp_path}/models", "pets", "r2")
+    assert model.identity.fingerprint == "table:pets@r2/d2/l2"
+    assert pairs(model.embed(spark.createDataFrame([("a", "cat cat")], DOCS)))[0][1] == [1.0, 0.0]
+    with pytest.raises(AnalysisException):
+        table_embedder(spark, f"file://{tmp_path}/models", "pets", "r3")
+    spark.createDataFrame([("cat", [1.0]), ("dog", [0.0, 1.0])], "token string, vector array<float>").write.parquet(f"file://{tmp_path}/models/pets/r4")
+    with pytest.raises(ValueError):
+        table_embedder(spark, f"file://{tmp_path}/models", "pets", "r4")
+
+
+def test_topology_text(spark):
+    got = pairs(parsed_topology(spark, " a:1, b:1 ,", "a:2,a:3 ; b:2,,b:3"))
+    assert got == [(0, 0, "primary", "ready", "a:1"), (0, 1, "replica", "ready", "a:2"), (0, 2, "replica", "ready", "a:3"), (1, 0, "primary", "ready", "b:1"), (1, 1, "replica", "ready", "b:2"), (1, 2, "replica", "ready", "b:3")]
+    assert parsed_topology(spark, "a,b,c").count() == 3 and parsed_topology(spark, "").count() == 0
+    require_topology(parsed_topology(spark, "a:1,b:1", "a:2;b:2"))
+    for bad in (("a,b", "c"), ("a,a", "")):
+        with pytest.raises(InvalidTopology):
+            parsed_topology(spark, *bad)
+
+
+def test_log_lines():
+    record = logging.makeLogRecord({"name": "n", "levelname": "INFO", "msg": "took %d", "args": (3,), "created": 0.0, "shard": 2, "odd": {1}})
+    assert json.loads(JsonLines().format(record)) == {"timestamp": "1970-01-01T00:00:00+00:00", "level": "INFO", "logger": "n", "message": "took 3", "shard": 2, "odd": "{1}"}
+    try:
+        raise ValueError("zwei\nZeilen")
+    except ValueError:
+        record.exc_info = sys.exc_info()
+    line = JsonLines().format(record)
+    assert "\n" not in line and "zwei" in json.loads(line)["exception"]
+
+
 def test_engine(spark, tmp_path):
     store = SnapshotStore(spark, f"file://{tmp_path}/engine")
     engine = SearchEngine(spark, store, TopicEmbedder((("cat", "feline"), ("dog",))), shards=3)
