@@ -94,7 +94,8 @@ def counted_index(documents: DataFrame, key: str = "document_id", text: str = "t
 def counted(documents: DataFrame, key: str = "document_id", text: str = "text", along: str | None = None) -> DataFrame:
     """``document_id, dl, terms, tfs`` of every document, and the column ``along``."""
     given = documents.select(F.col(key).alias("document_id"), F.col(text).alias("text"), *([along] if along else []))
-    shape, names = _COUNTED + f", `{along}` string" * bool(along), ["document_id", "dl", "terms", "tfs"] + [along] * bool(along)
+    shape = _COUNTED.replace("document_id string", f"document_id {dict(given.dtypes)['document_id']}") + f", `{along}` string" * bool(along)
+    names = ["document_id", "dl", "terms", "tfs"] + [along] * bool(along)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
