@@ -15,8 +15,9 @@ from findery.operators import knn
 from findery.operators.index import InvertedIndex, build_index, counted_index
 from findery.operators.invariants import engine_violations, index_violations
 from findery.operators.mutations import changed_vectors, classify, compact, delete_outcomes, missing_generations, operation, readable, sync_state, touched, upsert_outcomes
-from findery.operators.stored_index import StoredIndex
+from findery.operators.running import running_totals
 from findery.operators.sharding import cluster_health, routed, serving_copies, shard_health, topology_faults
+from findery.operators.stored_index import StoredIndex
 from findery.plans import duck
 from findery.plans.lexical import WORDS
 from findery.plans.retrieval import TOPICS
@@ -252,6 +253,26 @@ def engine_violations_none(spark, folder):
     return engine.violations()
 
 
+def engine_statistics(spark, folder):
+    """The figures of an engine after all that the log puts and deletes."""
+    engine, log = _engine(spark, folder), _log(spark, folder)
+    left = materialize(compact(log), "left")
+    engine.upsert(left.select("document_id", "text"))
+    engine.delete(touched(log).join(left, "document_id", "left_anti"))
+    return engine.stats().withColumn("avgdl", F.round("avgdl", 6))
+
+
+def engine_cluster(spark, folder):
+    """What the copies of all shards can do, with an engine's figures."""
+    return _engine(spark, folder).cluster_status(table(spark, folder, "shard_copies"))[1].withColumn("avgdl", F.round("avgdl", 6))
+
+
+def ordered_scan(spark, folder):
+    """Every document's place in the order of ids."""
+    documents = valid_documents(table(spark, folder, "documents")).select("document_id", F.lit(0).alias("all"))
+    return running_totals(documents, ["all"], [F.col("document_id")], {}).select("document_id", "position")
+
+
 def vector_containment(spark, folder):
     """Whether each document has a vector."""
     return knn.contains(table(spark, folder, "doc_vectors").where(F.col("document_id").isNotNull()), table(spark, folder, "documents").select("document_id"))
@@ -271,7 +292,7 @@ QUERIES = {
         full_scan, document_count, point_lookup, invalid_ids, compact_mutations, classify_generations, missing_stretches, upsert_results, delete_results, replace_all_snapshot, delete_documents, apply_log,
         incremental_postings, stream_classification, shard_routing, shard_sizes, misrouted, health_by_shard, health_of_cluster, answering_copies, faults_of_topology, synchronization,
         index_invariant_violations, index_is_sound, engine_cross_checks, sqlite_roundtrip, format_roundtrips,
-        engine_search, engine_semantic, engine_violations_none, vector_containment, vector_changes,
+        engine_search, engine_semantic, engine_violations_none, engine_statistics, engine_cluster, ordered_scan, vector_containment, vector_changes,
     )
 }
 
@@ -324,6 +345,9 @@ def sql() -> dict[str, str]:
         "engine_violations_none": f"WITH {log}, g AS ({good}), m AS ({left('document_id')}), a AS (SELECT g.document_id, coalesce(m.text, g.text) AS text FROM g LEFT JOIN m ON g.document_id = m.document_id AND m.op = 'put') SELECT 'document twice' AS rule, document_id AS subject FROM a GROUP BY document_id HAVING count(*) > 1",
         "engine_search": f"WITH g AS ({good}), {duck.index('g')}, {duck.scored(duck.words(*WORDS))}, {duck.ranked('k', 'h')} SELECT document_id, round(score, 6) AS score, rank, text FROM k JOIN g USING (document_id) WHERE rank <= 10",
         "engine_semantic": f"WITH g AS ({good}), {duck.analyzed(source='g')}, c AS (SELECT document_id, {topics[0]} AS a, {topics[1]} AS b, {topics[2]} AS c, {topics[3]} AS d FROM t), q AS (SELECT (a * 2 + b + 0.0625::DOUBLE) / (sqrt(a * a + b * b + c * c + d * d + 0.0625::DOUBLE) * sqrt(5.0625::DOUBLE)) AS s, document_id FROM c) SELECT row_number() OVER (ORDER BY s DESC)::INT AS rank, round(s, 5) AS score FROM q QUALIFY rank <= 10",
+        "engine_statistics": f"{applied}, {duck.index('a')} SELECT n, (SELECT count(*) FROM d) AS vocabulary, total_len AS total_tokens, round(avgdl, 6) AS avgdl FROM s",
+        "engine_cluster": f"WITH g AS ({good}), {duck.analyzed(source='g')} SELECT count(*) AS shards, count(CASE WHEN search_available THEN 1 END) AS ready_shards, bool_and(search_available) AS search_available, bool_and(write_available) AS write_available, (SELECT count(*) FROM t) AS n, (SELECT sum(dl)::BIGINT FROM t) AS total_tokens, (SELECT round(sum(dl) / count(*), 6) FROM t) AS avgdl FROM ({health})",
+        "ordered_scan": f"SELECT document_id, row_number() OVER (ORDER BY document_id) AS position FROM ({good})",
         "vector_containment": "SELECT d.document_id, d.document_id IN (SELECT document_id FROM doc_vectors WHERE document_id IS NOT NULL) AS embedded FROM documents d",
         "vector_changes": f"WITH {log}, m AS ({left('document_id')}) SELECT document_id, len(vector)::INT AS width FROM doc_vectors WHERE vector IS NOT NULL AND document_id IS NOT NULL AND document_id NOT IN (SELECT document_id FROM r) UNION ALL SELECT document_id, {len(TOPICS) + 1}::INT FROM m WHERE op = 'put'",
         "stream_classification": f"WITH {met.replace('ORDER BY received_at, generation', 'ORDER BY generation').replace('received_at IS NOT NULL AND ', '')} SELECT shard_id, CASE WHEN generation <= l THEN 'duplicate' WHEN generation > l + 1 THEN 'gap' WHEN stopped THEN 'refused' ELSE 'applied' END AS outcome, count(*) AS n FROM y GROUP BY 1, 2",
