@@ -164,9 +164,9 @@ class Passages:
             for passage, at, distance in self._met(of, tokens, text, ends - lengths, ends):
                 which, place = _spread(of.item_first, passage)
                 out.append(np.stack([at[which], of.items[place], distance[which]]))
-        if not out:
-            return tuple(np.empty((3, 0), np.int64))
-        each = np.concatenate(out, axis=1)
+        each = np.concatenate(out, axis=1) if out else np.empty((3, 0), np.int64)
+        if not each.shape[1]:  # pieces may be hit without any passage
+            return tuple(each)
         each = each[:, np.lexsort(each[::-1])]
         return tuple(each[:, np.append(True, (each[:2, 1:] != each[:2, :-1]).any(axis=0))])
 

@@ -417,6 +417,14 @@ def test_leaks_edge_cases(spark):
         leaks(table(spark, texts), items, window=2, errors=2)
 
 
+def test_pieces_without_a_passage_are_no_leak():
+    """Texts of which some have a piece of a passage, and none has a passage."""
+    passages = Passages([(1, "a b c d e f g h i j k l")], 12, 1, 12)
+    cache = nd.TermHashes()
+    texts = [np.array([cache[t] for t in own.split()], np.uint64) for own in ("a b c d e f x y z u v w", "x g h i j k l", "")]
+    assert [len(x) for x in passages.found(texts)] == [0, 0, 0]
+
+
 def test_leaks_in_blocks(spark, monkeypatch):
     import findery.llm.leakage as module
 
