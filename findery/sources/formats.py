@@ -24,7 +24,10 @@ FORMATS = ("parquet", "csv", "json", "orc", "text")
 
 
 def read_corpus(spark: SparkSession, path: str, format: str = "parquet", document_id: str = "document_id", text: str = "text", **options: str) -> DataFrame:
-    """``document_id, text`` from files of any of FORMATS, or ``sqlite``. No schema is inferred for CSV and JSON."""
+    """``document_id, text`` from files of any of FORMATS, or ``sqlite``. No schema is inferred for CSV and JSON.
+
+    In CSV a text in quotes is itself, also where it is empty; an empty field without quotes is null.
+    """
     from pyspark.sql import functions as F
 
     if format == "sqlite":
@@ -38,6 +41,8 @@ def read_corpus(spark: SparkSession, path: str, format: str = "parquet", documen
     if format in ("csv", "json"):
         if format == "csv":
             reader = reader.option("header", "true").option("multiLine", "true").option("escape", '"')
+            if "nullvalue" not in map(str.lower, options):  # Spark's own is the empty text, which would make "" a null too
+                reader = reader.option("nullValue", uuid.uuid4().hex)
         reader = reader if format == "csv" else reader.schema(f"`{document_id}` string, `{text}` string")
     return reader.load(path).select(F.col(document_id).cast("string").alias("document_id"), F.col(text).alias("text"))
 

@@ -27,7 +27,9 @@ from findery.schema import MUTATIONS
 from findery.sources import layers
 from findery.sources.corpus import MemoryStore, SnapshotStore, blank, valid_documents
 from findery.sources.formats import SqliteCorpus, read_corpus
+from findery.plans import catalogue
 from findery.streaming.mutations import apply_batch, apply_stream, classify_stream, outcomes, sequenced
+from tests.oracles import rows_of, rows_of_sql
 
 DOCS = "document_id string, text string"
 
@@ -165,6 +167,20 @@ def test_formats(spark, tmp_path):
         read_corpus(spark, base, "xml")
 
 
+def test_csv_tells_empty_texts_from_nulls(spark, tmp_path):
+    (tmp_path / "one.csv").write_text('document_id,text\n"a",""\n"b",\n"c","x"\n')
+    assert {r[0]: r[1] for r in read_corpus(spark, f"file://{tmp_path}/one.csv", "csv").collect()} == {"a": "", "b": None, "c": "x"}
+    assert {r[0]: r[1] for r in read_corpus(spark, f"file://{tmp_path}/one.csv", "csv", nullValue="x").collect()}["c"] is None
+
+
+def test_format_roundtrips_keep_every_text(spark, tmp_path):
+    rows = [("a", ""), ("b", None), ("c", " "), ("d", "x\ry\r\nz\n"), ("e", '"'), ("f", 'a\\'), ("g", '\\"'), ("h", '",\n'), ("i", "\ttab "), ("j", "null"), (" k", "\u2028\x85")]
+    spark.createDataFrame(rows, DOCS).coalesce(1).write.parquet(f"file://{tmp_path}/documents")
+    (file,) = (tmp_path / "documents").glob("*.parquet")
+    file.rename(tmp_path / "documents.parquet")
+    assert rows_of(catalogue.queries()["format_roundtrips"](spark, str(tmp_path))) == rows_of_sql(str(tmp_path), catalogue.oracle_sql()["format_roundtrips"])
+
+
 def test_sqlite(spark, tmp_path):
     path = str(tmp_path / "one.db")
     with sqlite3.connect(path) as db:
