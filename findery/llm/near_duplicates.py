@@ -6,16 +6,18 @@ By the pigeonhole principle a pair within distance ``Keys.distance`` has a chunk
 symbols; all ways to miss so many of a chunk's symbols are enumerated as keys, and a join on equal keys therefore gives all
 pairs within that distance. ``keys_for`` chooses chunks and errors for the similarity asked for, so that more than REACH of
 the pairs of just that similarity share a key, and refuses a similarity (under about 0.36) for which less than LEAST_REACH
-would. The b-bit form of the signature (BITS bits a symbol, packed into one BIGINT) goes along with each key, and a pair is
-kept while its distance in b-bit symbols is within the guaranteed distance, or allows the similarity if that is farther: no
-pair within the guaranteed distance is dropped. What is left is verified on the full shingle sets, as hashes of SHORT bytes.
+would. Records that share a key are compared by the b-bit form of the signature (b = 4: BITS bits a symbol in each of two
+BIGINTs), and a pair is kept while its distance in b-bit symbols is within the guaranteed distance, or allows the similarity
+if that is farther: no pair within the guaranteed distance is dropped. With b = 2 a tenth of the pairs that share three
+symbols by chance were kept, whose number grows as the square of the records. What is left is verified on the full shingle
+sets, as hashes of SHORT bytes.
 
 Scale: records of equal shingle sets are one class and only its smallest key takes part; the class is found by an
 aggregation that combines before its shuffle, so a group of copies of any size is one row. Keys of more than HOT records are
 found by a count that combines before its shuffle; their records go another way: they are compared in blocks spread over the
-tasks, 64 bits a comparison, and give only the near pairs that no key before gives. Of the other keys those that one
+tasks, 128 bits a comparison, and give only the near pairs that no key before gives. Of the other keys those that one
 record alone has (nearly all) are dropped before the join. Candidates are verified in groups, to which each shingle set
-goes once, however many pairs it is in. Classes of many records are spread over tasks where pairs of records are asked for.
+goes once, however many pairs it is in; texts are never shuffled. Classes of many records are spread over tasks where pairs of records are asked for.
 Nothing is capped.
 
 Null texts, and texts of fewer than ``min_terms`` terms (or than a shingle needs), are in no pair; where every record is
@@ -39,9 +41,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from findery.functions.analysis import terms
+from findery.operators.membership import those_among
 from findery.sources.scratch import materialize
 
 SYMBOLS, BITS = 32, 2
+#: The columns of the b-bit form.
+SKETCHES = ("sketch", "second")
 #: Share of the pairs of just the similarity asked for that share a key: aimed at, and the least that is accepted.
 REACH, LEAST_REACH = 0.9995, 0.99
 #: A bucket of more records than HOT is compared in blocks of BLOCK.
@@ -94,9 +99,9 @@ def signatures(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def packed(symbols: np.ndarray) -> np.ndarray:
-    """BITS low bits of each symbol's mixed value, as one signed 64-bit number a row."""
-    low = (symbols * np.uint32(0x85EBCA6B) >> np.uint32(32 - BITS)).astype(np.uint64)
+def packed(symbols: np.ndarray, at: int = 0) -> np.ndarray:
+    """BITS bits of each symbol's mixed value, the highest (``at`` 0) or those after, as one signed 64-bit number a row."""
+    low = (symbols * np.uint32(0x85EBCA6B) << np.uint32(BITS * at) >> np.uint32(32 - BITS)).astype(np.uint64)
     return (low << (np.arange(SYMBOLS, dtype=np.uint64) * np.uint64(BITS))).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
@@ -113,11 +118,10 @@ def _sets(batch: pa.RecordBatch, width: int, least: int, cache: TermHashes) -> I
         yield keys, sets
 
 
-def _may_be_near(a: Column, b: Column, most: int) -> Column:
+def _may_be_near(most: int) -> Column:
     """Whether at most ``most`` of the b-bit symbols differ."""
-    x = a.bitwiseXOR(b)
-    for shift in range(1, BITS):
-        x = x.bitwiseOR(F.shiftrightunsigned(a.bitwiseXOR(b), shift))
+    unlike = [F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")) for c in SKETCHES]
+    x = reduce(Column.bitwiseOR, (F.shiftrightunsigned(u, shift) if shift else u for u in unlike for shift in range(BITS)))
     return F.bit_count(x.bitwiseAND(F.lit(sum(1 << BITS * i for i in range(SYMBOLS))))) <= most
 
 
@@ -160,9 +164,10 @@ def keys_for(similarity: float) -> Keys:
 
 
 def farthest(similarity: float) -> int:
-    """Differing b-bit symbols that a pair of this similarity exceeds in fewer than 1 of 50,000 cases (4.2 deviations)."""
-    p = (1 - similarity) * (1 - 2.0**-BITS)
-    return min(SYMBOLS, int(SYMBOLS * p + 4.2 * (SYMBOLS * p * (1 - p)) ** 0.5))
+    """Differing b-bit symbols that a pair of this similarity exceeds in fewer than 1 of 50,000 cases."""
+    p = (1 - similarity) * (1 - 2.0 ** -(BITS * len(SKETCHES)))
+    within = np.cumsum([math.comb(SYMBOLS, i) * p**i * (1 - p) ** (SYMBOLS - i) for i in range(SYMBOLS + 1)])
+    return int(np.argmax(1 - within < 1 / 50_000))
 
 
 @dataclass(frozen=True)
@@ -244,11 +249,11 @@ def near_duplicates(records: DataFrame, key: str = "doc_id", text: str = "text",
                 symbols = signatures(np.concatenate(sets), starts)
                 equal = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 rows = pa.FixedSizeListArray.from_arrays(pa.array(symbols.view(np.int32).ravel()), SYMBOLS).cast(pa.list_(pa.int32()))
-                yield pa.record_batch([pa.array(keys, batch.schema.field(0).type), pa.array(equal, pa.binary()), pa.array(packed(symbols)), rows], ["record", "same", "sketch", "symbols"])
+                yield pa.record_batch([pa.array(keys, batch.schema.field(0).type), pa.array(equal, pa.binary()), *(pa.array(packed(symbols, at)) for at in range(len(SKETCHES))), rows], ["record", "same", *SKETCHES, "symbols"])
 
-    signed = materialize(given.mapInArrow(sign, f"record {kind}, same binary, sketch bigint, symbols array<int>"), "signatures")
-    classes = signed.groupBy("same").agg(F.min(F.struct("record", "sketch", "symbols")).alias("c"), F.count("*").alias("size"))
-    first = classes.select(F.col("c.record").alias("record"), F.col("c.sketch").alias("sketch"), F.col("c.symbols").alias("symbols"), "same", "size")
+    signed = materialize(given.mapInArrow(sign, f"record {kind}, same binary, {', '.join(f'{c} bigint' for c in SKETCHES)}, symbols array<int>"), "signatures")
+    classes = signed.groupBy("same").agg(F.min(F.struct("record", *SKETCHES, "symbols")).alias("c"), F.count("*").alias("size"))
+    first = classes.select(*(F.col(f"c.{c}").alias(c) for c in ("record", *SKETCHES, "symbols")), "same", "size")
     first = materialize(first, "classes")
     repeated = first.where(F.col("size") > 1).select("same", F.col("record").alias("class_id"))
     members = signed.select("same", F.col("record").alias(key)).join(repeated, "same", "left").select(key, F.coalesce("class_id", key).alias("class_id"))
@@ -281,13 +286,14 @@ def _candidates(first: DataFrame, similarity: float) -> DataFrame:
     buckets = F.explode(F.array(*keys)).alias("bucket")
     hot = materialize(first.select(buckets).groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > HOT), "hot-keys")
     hot_keys = hot.count()
-    spread, hint = first.select("record", "sketch", buckets), F.broadcast if hot_keys <= BROADCAST_KEYS else lambda df: df
+    spread, hint = first.select("record", buckets), F.broadcast if hot_keys <= BROADCAST_KEYS else lambda df: df
     if hot_keys:
         spread = spread.join(hint(hot.select("bucket")), "bucket", "left_anti")
-    shared = spread.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where(F.col("n") > 1).select("bucket", "record", "sketch")
+    shared = spread.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where(F.col("n") > 1).select("bucket", "record")
+    shared = shared.join(first.select("record", *SKETCHES), "record")
     met = _met(materialize(shared, "shared-keys"), ["bucket"], most)
     if hot_keys:
-        whole = first.select("record", "sketch", "symbols", F.posexplode(F.array(*keys)).alias("at", "bucket"))
+        whole = first.select("record", *SKETCHES, "symbols", F.posexplode(F.array(*keys)).alias("at", "bucket"))
         met = met.unionByName(_in_blocks(whole.join(hint(hot), "bucket"), shape.chosen, most))
     return materialize(met.distinct(), "candidates")
 
@@ -295,7 +301,7 @@ def _candidates(first: DataFrame, similarity: float) -> DataFrame:
 def _met(buckets: DataFrame, by: list[str], most: int, other: DataFrame | None = None, also: Callable[[], Column] | None = None) -> DataFrame:
     """Pairs of one bucket that are near in b-bit symbols."""
     names = lambda df, x: df.select(*(F.col(c).alias(f"{c}_{x}") for c in df.columns))
-    near = (F.col("record_a") < F.col("record_b")) & _may_be_near(F.col("sketch_a"), F.col("sketch_b"), most)
+    near = (F.col("record_a") < F.col("record_b")) & _may_be_near(most)
     keys = [F.col(f"{c}_a") == F.col(f"{c}_b") for c in by]
     joined = names(buckets, "a").join(names(buckets if other is None else other, "b"), reduce(and_, keys) & (near if also is None else near & also()))
     return joined.select(F.col("record_a").alias("class_a"), F.col("record_b").alias("class_b"))
@@ -324,7 +330,7 @@ def _verified(given: DataFrame, key: str, text: str, kind: str, candidates: Data
     """Candidates with their exact similarity, where it is enough."""
     ids = candidates.select(F.explode(F.array("class_a", "class_b")).alias(key)).distinct()
     ids = materialize(ids, "candidate-ids")
-    small = ids.count() <= BROADCAST_KEYS
+    count = ids.count()
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = TermHashes()
@@ -332,7 +338,8 @@ def _verified(given: DataFrame, key: str, text: str, kind: str, candidates: Data
             for keys, sets in _sets(batch, shingle, min_terms, cache):
                 yield pa.record_batch([pa.array(keys, batch.schema.field(0).type), pa.array([_short(s) for s in sets], pa.binary())], ["record", "shingles"])
 
-    sets = given.join(F.broadcast(ids) if small else ids, key, "left_semi").mapInArrow(shingles, f"record {kind}, shingles binary")
+    met = given.join(F.broadcast(ids), key, "left_semi") if count <= BROADCAST_KEYS else those_among(given, ids, count, key)
+    sets = met.mapInArrow(shingles, f"record {kind}, shingles binary")
     sides = max(1, math.ceil(math.sqrt(candidates.count() / TOGETHER)))
     side = lambda c: F.pmod(F.xxhash64(c), F.lit(sides))
     grouped = candidates.select((side("class_a") * sides + side("class_b")).cast("int").alias("group"), "class_a", "class_b")

@@ -205,6 +205,26 @@ def test_near_duplicates_by_shuffle(spark, monkeypatch):
     assert rows(near_duplicates(table(spark, texts)).pairs.select("class_a", "class_b")) == want
 
 
+def test_texts_are_not_shuffled(spark, monkeypatch):
+    """However many records are candidates, their sets are made where the texts are."""
+    monkeypatch.setattr(nd, "BROADCAST_KEYS", 0)
+    plan = near_duplicates(table(spark, edited(6, 40, 3))).pairs._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("shingles") :]
+    assert "MapInArrow" in below and "LeftSemi" not in below
+
+
+def test_symbols_shared_by_chance_make_no_candidates(spark):
+    """Records that share three symbols, and with them a key, and no others: they grow as the square of the records."""
+    symbols = np.random.default_rng(3).integers(0, 2**32, (190, nd.SYMBOLS), dtype=np.uint32)
+    symbols[:, :3] = 7
+    near = symbols[:1].copy()
+    near[0, [3, *range(17, 31)]] += 1  # as far as is found for certain
+    symbols = np.concatenate([symbols, near])
+    sketches = [nd.packed(symbols, at).tolist() for at in range(2)]
+    first = spark.createDataFrame([(i, *(s[i] for s in sketches), symbols[i].view(np.int32).tolist()) for i in range(len(symbols))], "record bigint, sketch bigint, second bigint, symbols array<int>")
+    assert nd.keys_for(0.7).distance == 15 and rows(nd._candidates(first, 0.7)) == [(0, 190)]
+
+
 def test_groups_and_classes(spark):
     a = " ".join(f"w{i}" for i in range(60))
     b, c = a + " x1 x2", a + " x1 x2 x3 x4 x5"

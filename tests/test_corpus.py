@@ -6,6 +6,7 @@ import os
 import random
 import sqlite3
 import sys
+import time
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -19,6 +20,7 @@ from findery.functions.vectors import dot, l2_normalized
 from findery.operations import JsonLines, parsed_topology
 from findery.operators.index import InvertedIndex, build_index, totals
 from findery.operators.invariants import engine_violations, index_violations, vector_violations
+from findery.operators.membership import those_among
 from findery.operators.mutations import changed_index, classify, compact, decide_sync, missing_generations, sync_state
 from findery.operators.running import running_max_before, running_totals
 from findery.operators.stored_index import StoredIndex
@@ -28,6 +30,7 @@ from findery.sources import layers
 from findery.sources.corpus import MemoryStore, SnapshotStore, blank, valid_documents
 from findery.sources.formats import SqliteCorpus, read_corpus
 from findery.plans import catalogue
+from findery.sources.scratch import materialize
 from findery.streaming.mutations import apply_batch, apply_stream, classify_stream, outcomes, sequenced
 from tests.oracles import rows_of, rows_of_sql
 
@@ -181,6 +184,31 @@ def test_format_roundtrips_keep_every_text(spark, tmp_path):
     assert rows_of(catalogue.queries()["format_roundtrips"](spark, str(tmp_path))) == rows_of_sql(str(tmp_path), catalogue.oracle_sql()["format_roundtrips"])
 
 
+def test_what_was_shuffled_for_a_table_is_deleted(spark):
+    blocks = lambda: {str(b) for b in _blocks(spark) if str(b).startswith("shuffle")}
+    before = blocks()
+    made = materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counted")
+    for _ in range(50):
+        if blocks() <= before:
+            break
+        time.sleep(0.1)
+    assert blocks() <= before and made.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+
+
+def _blocks(spark):
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().iterator()
+    while found.hasNext():
+        yield found.next()
+
+
+def test_rows_that_may_be_among_ids(spark):
+    rows = spark.range(40_000).select(F.col("id").cast("string").alias("k"), F.lit("x").alias("v"))
+    got = [r["k"] for r in those_among(rows, rows.where("k % 10 = 0").select("k"), 4000, "k").select("k").collect()]
+    assert {str(i) for i in range(0, 40_000, 10)} <= set(got) and len(got) == len(set(got)) < 8000
+    assert those_among(rows, rows.where("false").select("k"), 0, "k").count() == 0
+
+
 def test_sqlite(spark, tmp_path):
     path = str(tmp_path / "one.db")
     with sqlite3.connect(path) as db:
