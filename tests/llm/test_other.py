@@ -17,6 +17,7 @@ from findery.llm.graph import Graph
 from findery.llm.neighbours import most_similar
 from findery.llm.outranking import net_flow
 from findery.llm.tokenizing import Encoder, decode, default_vocabulary, encode, read_ranks, serialized_model
+from findery.sources.scratch import discard, materialize
 from tests.oracles import rows_of, rows_of_sql
 
 FOLDER = "/root/testdata/sf0.001"
@@ -140,6 +141,36 @@ def test_equal_vectors(spark):
     assert all(copies[i] == (least[0] if i != least[0] else least[1]) for i in ids[::3])
 
 
+def test_copies_too_many_to_be_sent(spark, monkeypatch):
+    x = vectors(300, 3)
+    x[::3] = x[0]
+    want = most_similar(frame(spark, x, range(300)), width=16).collect()
+    monkeypatch.setattr(neighbours, "BROADCAST_NODES", 0)
+    assert sorted(most_similar(frame(spark, x, range(300)), width=16).collect()) == sorted(want)
+
+
+def test_tables_of_vectors_do_not_stay(spark, monkeypatch):
+    """Vectors are not copied, and visits are deleted once they are used: what is left has ids, hashes and scores."""
+    kept, whole = [], []
+
+    def materialized(df, name, *more):
+        made = materialize(df, name, *more)
+        kept.append(made)
+        whole.extend([made] if "v" in made.columns else [])
+        return made
+
+    def discarded(t):
+        kept[:] = [k for k in kept if k is not t]
+        discard(t)
+
+    for name, value in {"SHARD_ROWS": 100, "MAX_SHARD_ROWS": 150, "FANOUT": 3, "materialize": materialized, "discard": discarded}.items():
+        monkeypatch.setattr(neighbours, name, value)
+    x, ids = vectors(1500, 2), list(range(1500))
+    found = most_similar(frame(spark, x, ids), width=16)
+    assert len(whole) > 2 and not [k for k in kept if "v" in k.columns]
+    assert recall(found, nearest(x, np.array(ids), 5)) > 0.97
+
+
 def test_vector_edge_cases(spark):
     bad = [None, [1.0], [0.0, 0.0], [float("nan"), 1.0], [float("inf"), 1.0]]
     df = frame(spark, bad, range(5))

@@ -20,7 +20,7 @@ from findery.functions.vectors import dot, l2_normalized
 from findery.operations import JsonLines, parsed_topology
 from findery.operators.index import InvertedIndex, build_index, totals
 from findery.operators.invariants import engine_violations, index_violations, vector_violations
-from findery.operators.membership import those_among
+from findery.operators.membership import those_among, those_not_among
 from findery.operators.mutations import changed_index, classify, compact, decide_sync, missing_generations, sync_state
 from findery.operators.running import running_max_before, running_totals
 from findery.operators.stored_index import StoredIndex
@@ -30,7 +30,7 @@ from findery.sources import layers
 from findery.sources.corpus import MemoryStore, SnapshotStore, blank, valid_documents
 from findery.sources.formats import SqliteCorpus, read_corpus
 from findery.plans import catalogue
-from findery.sources.scratch import materialize
+from findery.sources.scratch import discard, materialize
 from findery.streaming.mutations import apply_batch, apply_stream, classify_stream, outcomes, sequenced
 from tests.oracles import rows_of, rows_of_sql
 
@@ -207,6 +207,16 @@ def test_rows_that_may_be_among_ids(spark):
     got = [r["k"] for r in those_among(rows, rows.where("k % 10 = 0").select("k"), 4000, "k").select("k").collect()]
     assert {str(i) for i in range(0, 40_000, 10)} <= set(got) and len(got) == len(set(got)) < 8000
     assert those_among(rows, rows.where("false").select("k"), 0, "k").count() == 0
+    others = those_not_among(rows, rows.where("k % 10 = 0").select("k"), 4000, "k")
+    assert sorted(int(r["k"]) for r in others.collect()) == [i for i in range(40_000) if i % 10]
+
+
+def test_discarded_tables_are_gone(spark):
+    made = materialize(spark.range(3).toDF("k"), "discarded")
+    path = made.inputFiles()[0].removeprefix("file:").rpartition("/")[0]
+    assert os.path.exists(path)
+    discard(made)
+    assert not os.path.exists(path)
 
 
 def test_sqlite(spark, tmp_path):
