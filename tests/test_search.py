@@ -4,15 +4,16 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from findery.config import BM25Params, RankFusion, checked_limit
 from findery.functions.analysis import terms
-from findery.operators import bm25, knn
+from findery.operators import best, bm25, knn
 from findery.operators.evaluation import best_parameters, by_category, losses, per_query, summary
 from findery.operators.fusion import reciprocal_rank_fusion
-from findery.operators.index import InvertedIndex, build_index, contains, corpus_stats, index_stats, matching, merge_stats
+from findery.operators.index import InvertedIndex, Matches, build_index, contains, corpus_stats, index_stats, match, matching, merge_stats
 from findery.operators.sharding import cluster_stats, merged_topk, shard_stats
 
 #: Lengths, repeats and ties that differ; ids that sort otherwise as numbers.
@@ -219,3 +220,69 @@ def test_metrics(spark):
     assert best_parameters(settings).first()["position"] == 1
     worse = m.withColumn("rr", F.col("rr") - 0.1)
     assert losses(worse, m, m).count() == 6 and losses(m, m, worse).count() == 0
+
+
+def _brute_best(texts, queries, limit):
+    out = {}
+    for q, text in queries.items():
+        found = sorted(((-round(s, 9), i, s) for i, s in brute(texts, text).items()))
+        out |= {(q, r + 1): (i, len(found)) for r, (_, i, _) in enumerate(found[:limit])}
+    return out
+
+
+def _random_texts(count, seed=5):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(40)]
+    return {f"d{i}": " ".join(rng.choices(words, [1 / (j + 1) for j in range(40)], k=rng.randint(0, 12))) for i in range(count)}
+
+
+@pytest.mark.parametrize("shards", [1, 3])
+def test_best_of_queries_and_shards_without_the_score_of_every_match(spark, monkeypatch, shards):
+    """Several passes, chunks of documents and blocks give the rows of brute force; no table of all scores is written."""
+    monkeypatch.setattr(best, "ROWS_A_PASS", 1024 * 4)
+    texts, limit = _random_texts(700), 4
+    queries = {q: f"w{q % 40} w{q * 7 % 40} w{q % 3}" for q in range(1100)} | {2000: "w1 w1", 2001: "unknown", 2002: ""}
+    documents = corpus(spark, texts).repartition(5).withColumn("part", F.pmod(F.xxhash64("document_id"), F.lit(shards)).cast("string"))
+    found = match(documents, [f"w{i}" for i in range(40)], along="part")
+    parts = [Matches(found.rows.where(F.col("part") == str(s))) for s in range(shards)]
+    asked = bm25.query_terms(spark, queries)
+    got = {(r["query_id"], r["rank"]): (r["document_id"], r["total"]) for r in bm25.batch_topk(parts, asked, limit, decimals=9).collect()}
+    assert got == _brute_best(texts, queries, limit)
+    totals = {r[0]: r[1] for r in bm25.batch_totals(parts, asked).groupBy("query_id").agg(F.sum("total")).collect()}
+    assert totals == {q: n for (q, r), (_, n) in got.items() if r == 1}
+
+
+def test_tasks_keep_the_best_over_chunks():
+    """Rows of several chunks, equal scores, and one query with far more rows than the others."""
+    rng = np.random.default_rng(2)
+    kept = best.Kept(3, 5, 3)
+    every = []
+    for chunk in range(6):
+        ids = [f"d{chunk}-{i}" for i in range(400)]
+        kept.begin(pa.array(ids))
+        for q, n in ((0, 400), (1, 30), (2, 3)):
+            at, score = np.arange(n), rng.integers(0, 20, n) / 10
+            kept.add(0, np.full(n, q), at, score)
+            every += [(q, -s, ids[i]) for i, s in zip(at, score)]
+    row = next(kept.packed(0))
+    table = pa.ipc.open_stream(row.column(1)[0].as_py()).read_all()
+    got = sorted((q, -s, i) for q, i, s in zip(*(c.to_pylist() for c in table.columns)))
+    assert got == [x for q in range(3) for x in sorted(y for y in every if y[0] == q)[:5]]
+
+
+def test_batch_vectors_in_passes_with_ties(spark, monkeypatch):
+    monkeypatch.setattr(best, "ROWS_A_PASS", 1024 * 3)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(150, 8)).astype(np.float32)
+    x = np.concatenate([x, x, np.zeros((20, 8), np.float32)])
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    names = [f"d{i}" for i in range(len(x))]
+    index = spark.createDataFrame([(n, v.tolist()) for n, v in zip(names, x)], "document_id string, vector array<float>").repartition(5)
+    asked = spark.createDataFrame([(i, x[i % 160].tolist()) for i in range(1100)], "query_id bigint, vector array<float>")
+    got = {}
+    for r in knn.batch_topk(index, asked, 3, 8, 6).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["document_id"]
+    scores = np.round(x.astype(float) @ x.astype(float).T, 6)
+    for q in range(1100):
+        want = sorted(range(len(x)), key=lambda i: (-scores[q % 160, i], names[i]))[:3]
+        assert [got[q][r + 1] for r in range(3)] == [names[i] for i in want]
