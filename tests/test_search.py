@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from findery.config import BM25Params, RankFusion, checked_limit
 from findery.functions.analysis import terms
 from findery.operators import best, bm25, knn
-from findery.operators.evaluation import best_parameters, by_category, losses, per_query, summary
+from findery.operators.evaluation import best_parameters, by_category, losses, per_query, summary, swept
 from findery.operators.fusion import reciprocal_rank_fusion
 from findery.operators.index import InvertedIndex, Matches, build_index, contains, corpus_stats, index_stats, match, matching, merge_stats
 from findery.operators.sharding import cluster_stats, merged_topk, shard_stats
@@ -286,3 +286,17 @@ def test_batch_vectors_in_passes_with_ties(spark, monkeypatch):
     for q in range(1100):
         want = sorted(range(len(x)), key=lambda i: (-scores[q % 160, i], names[i]))[:3]
         assert [got[q][r + 1] for r in range(3)] == [names[i] for i in want]
+
+
+def test_sweep_equals_fusion_of_each_setting(spark):
+    rng = random.Random(8)
+    draw = lambda: {q: rng.sample([f"d{i}" for i in range(60)], rng.randint(0, 40)) for q in range(12)}
+    lexical, semantic = ranked(spark, draw()), ranked(spark, draw())
+    labels = spark.createDataFrame([(q, rng.sample([f"d{i}" for i in range(60)], q % 5) + [None, "d1", "d1"] * (q % 2)) for q in range(14)], "query_id bigint, relevant array<string>")
+    settings = [(10, 5), (60, 20), (1, 40)]
+    got = {(r["position"], r["query_id"]): (r["recall"], r["rr"]) for r in swept(lexical, semantic, labels, settings, 20, decimals=12).collect()}
+    for at, (constant, depth) in enumerate(settings):
+        fused = reciprocal_rank_fusion(lexical.where(F.col("rank") <= depth), semantic.where(F.col("rank") <= depth), 20, RankFusion(constant), decimals=12)
+        assert {(at, r["query_id"]): (r["recall"], r["rr"]) for r in per_query(fused, labels).collect()} == {k: v for k, v in got.items() if k[0] == at}
+    plan = swept(lexical, semantic, labels, settings, 20)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
